@@ -9,7 +9,9 @@ A merge touches two pairs, so a piece of n bytes takes O(n log n) steps however
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import BATCH
 
-LEAF = 256  # ranks for each leaf of the bitmap
-CACHED_BYTES, CACHED_PIECES = 48, 150_000  # of each worker; pieces beyond are encoded anew, with the same result
+LEAF_BITS = 8  # 256 ranks for each leaf of the bitmap
+LEAF_MASK = (1 << LEAF_BITS) - 1
+CACHED_BYTES, CACHED_PIECES = 48, 250_000  # of each of two generations in a worker; other pieces are encoded anew, with the same result
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -28,6 +31,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    ranks: dict[bytes, int]
+    digest: str
+
+    @classmethod
+    def load(cls, path: str) -> Vocabulary:
+        ranks = load_ranks(path)
+        return cls(ranks, hashlib.sha256(b"".join(b"%s %d\n" % x for x in ranks.items())).hexdigest())
+
+
 class RankQueue:
     """Positions by rank; the least rank first, and among its positions the leftmost."""
 
@@ -42,27 +56,23 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        leaf = rank // LEAF
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << rank % LEAF
+        leaf = rank >> LEAF_BITS
+        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
         self.top |= 1 << leaf
 
     def pop(self) -> tuple[int, int]:
         leaf = (self.top & -self.top).bit_length() - 1
         bits = self.leaves[leaf]
         low = bits & -bits
-        rank = leaf * LEAF + low.bit_length() - 1
+        rank = (leaf << LEAF_BITS) + low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
+        position = heappop(bucket) if len(bucket) > 1 else bucket.pop()
         if not bucket:
-            bits ^= low
-            self.leaves[leaf] = bits
+            self.leaves[leaf] = bits = bits ^ low
             if not bits:
                 self.top ^= 1 << leaf
         return rank, position
 
-    def __bool__(self) -> bool:
-        return self.top != 0
-
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece: always the pair of the least rank is merged, the leftmost of these first."""
@@ -74,47 +84,62 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     wanted = [-1] * n  # the rank of the pair that starts here
     queue, rank_of = RankQueue(), ranks.get
+    push, pop = queue.push, queue.pop
     for i in range(n - 1):
         rank = rank_of(piece[i : i + 2])
         if rank is not None:
             wanted[i] = rank
-            queue.push(rank, i)
-    while queue:
-        rank, i = queue.pop()
+            push(rank, i)
+    while queue.top:
+        rank, i = pop()
         if wanted[i] != rank:
             continue  # stale
         gone = after[i]
-        token[i] += token[gone]
+        merged = token[i] = token[i] + token[gone]
         token[gone], wanted[gone] = None, -1
         after[i] = right = after[gone]
+        left = before[i]
+        if left >= 0:
+            rank = rank_of(token[left] + merged)
+            if rank is None:
+                wanted[left] = -1
+            else:
+                wanted[left] = rank
+                push(rank, left)
+        wanted[i] = -1
         if right < n:
             before[right] = i
-        for at, other in ((before[i], i), (i, right)):
-            if at >= 0:
-                rank = rank_of(token[at] + token[other]) if other < n else None
-                wanted[at] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, at)
+            rank = rank_of(merged + token[right])
+            if rank is not None:
+                wanted[i] = rank
+                push(rank, i)
     return [ranks[t] for t in token if t is not None]
 
 
 class Codec(dict):
-    """Packed ids by piece, filled as pieces come; each id is a little-endian unsigned 32-bit integer."""
+    """Packed ids by piece, filled as pieces come; each id is a little-endian unsigned 32-bit integer.
+
+    When the young generation is full it becomes the old one; a piece found there moves on to the new one.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find, self.old = ranks, regex.compile(pattern).findall, {}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = b"".join(i.to_bytes(4, "little") for i in merge(raw, self.ranks))
-        if len(raw) <= CACHED_BYTES:
-            self[piece] = packed
+        packed = self.old.get(piece)
+        if packed is None:
+            raw = piece.encode()
+            packed = b"".join([i.to_bytes(4, "little") for i in merge(raw, self.ranks)])
+            if len(raw) > CACHED_BYTES:
+                return packed
+        self[piece] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
         if len(self) > CACHED_PIECES:
+            self.old = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, self.find(text or "")))
 
@@ -122,8 +147,19 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, memoryview(packed or b"").cast("I")))
 
 
+_CODECS: dict[tuple, Codec] = {}  # of this worker, so that the tasks it runs one after another share the pieces they know
+
+
+def _codec(ranks, pattern: str) -> Codec:
+    key = (ranks.value.digest, pattern)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(ranks.value.ranks, pattern)
+    return _CODECS[key]
+
+
 def _encode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
-    codec = Codec(ranks.value, pattern)
+    codec = _codec(ranks, pattern)
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
             part = batch.slice(start, BATCH)
@@ -132,7 +168,7 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[
 
 
 def _decode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
-    codec = Codec(ranks.value, pattern)
+    codec = _codec(ranks, pattern)
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
             part = batch.slice(start, BATCH)
@@ -145,13 +181,13 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     path: a file of base64 tokens and ranks, read by the driver and broadcast (a vocabulary of fixed size).
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _encode(it, ranks, pattern), "doc_id long, ids binary")
 
 
 def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for."""
-    ranks = ids.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks = ids.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     return ids.select("doc_id", "ids").mapInArrow(lambda it: _decode(it, ranks, pattern), "doc_id long, ids binary, decoded binary")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, stored
 
+ROWS_A_FILE = 500_000  # of the link tables between rounds; a round never has more links than the one before
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -35,7 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     was = None
     while (now := _mark(e)) != was:
         was, old = now, e
-        e = stored(_small_star(_large_star(e)), "stars")
+        e = stored(_small_star(_large_star(e)).coalesce(1 + now[0] // ROWS_A_FILE), "stars")
         dropped(old)
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
