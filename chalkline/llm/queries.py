@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, quality, sharding, simhash, topk, toxicity
+from . import bpe, langid, linededup, pii, quality, sharding, simhash, topk, toxicity
 from .common import fold, table
 
 
@@ -30,6 +30,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_kd_sharding": op4_kd_sharding,
     "op5_langid": op5_langid,
+    "op6_linededup": op6_linededup,
     "op7_quality": op7_quality,
     "op8_maxscore": op8_maxscore,
     "op9_toxicity": op9_toxicity,
@@ -62,6 +67,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op6_linededup": linededup.SQL,
     "op8_maxscore": """
         WITH fine AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
