@@ -29,7 +29,7 @@ SIZE = 1 << BITS
 WINDOW, STRIDE = 32, 16  # words; a window is two strides
 CHUNK = 1 << 15  # words projected at a time, a multiple of STRIDE
 GROUP, RANK, POWERS = 256, 192, 2
-CANDIDATE, EXACT, PARAPHRASE, ANSWER = 0.3, 0.75, 0.5, 0.8
+CANDIDATE, EXACT, PARAPHRASE, ANSWER = 0.3, 0.6, 0.5, 0.8
 _CUT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
