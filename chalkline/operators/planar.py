@@ -171,7 +171,7 @@ def clustered(trees: DataFrame, gaps: DataFrame, sizes: DataFrame) -> DataFrame:
         return pd.concat(parts) if parts else pd.DataFrame({D: [], "lo": [], "hi": [], "v": [], "label": []})
 
     asked = gaps.join(sizes.select(D, "n"), D)
-    return trees.groupBy(D).cogroup(asked.groupBy(D)).applyInPandas(cut, f"{D} {kind}, lo double, hi double, v int, label int")
+    return trees.withColumnRenamed(D, "_id").groupBy("_id").cogroup(asked.groupBy(D)).applyInPandas(cut, f"{D} {kind}, lo double, hi double, v int, label int")
 
 
 def component_counts(vs: DataFrame, es: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -185,7 +185,8 @@ def component_counts(vs: DataFrame, es: DataFrame, keys: list[str] | None = None
         return pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "pieces": [int(labels_of(len(ids), pairs).max(initial=-1)) + 1]})
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pieces long"
-    return vs.select(*keys, "v").groupBy(*keys).cogroup(es.select(*keys, "a", "b").groupBy(*keys)).applyInPandas(count, schema)
+    own = [f"_{k}" for k in keys]  # names of their own, since the edges come from the same vertices
+    return vs.select(*keys, "v").groupBy(*keys).cogroup(es.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "a", "b").groupBy(*own)).applyInPandas(count, schema)
 
 
 def euler(vs: DataFrame, es: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,334 @@
-"""The registered queries of the geometry engine and the SQL that each must agree with."""
+"""The registered queries of the geometry engine and the SQL that each must agree with.
+
+Drawings are made from the driver's tables by SQL that Spark and DuckDB both read: a lattice of unit walls for each supplier,
+the same with longer walls, chords between lattice points for each customer, and the values of each user as points on a line.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chalkline.functions import geometry as G
+from chalkline.operators import evaluate as E
+from chalkline.operators import planar as P
+from chalkline.plans import verdicts as V
+from chalkline.sources import figures, svg
+from chalkline.streaming import stamps
+
+D = P.D
 FLAGSHIP = "verdicts"
-QUERIES: dict = {}
-SQL: dict = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _walls(long: bool) -> str:
+    run = "1 + l_linenumber % 3" if long else "1"
+    return f"""
+        SELECT l_suppkey AS drawing_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS INT) AS seg_ix,
+            CAST(l_partkey % 12 AS DOUBLE) AS x1, CAST(l_linenumber + l_orderkey % 6 AS DOUBLE) AS y1,
+            CAST(l_partkey % 12 + CASE WHEN l_quantity % 2 = 0 THEN {run} ELSE 0 END AS DOUBLE) AS x2,
+            CAST(l_linenumber + l_orderkey % 6 + CASE WHEN l_quantity % 2 = 0 THEN 0 ELSE {run} END AS DOUBLE) AS y2,
+            concat('line#', row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1) AS element
+        FROM lineitem"""
+
+
+LATTICE, LONG = _walls(False), _walls(True)
+CHORDS = """
+        SELECT o_custkey AS drawing_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS seg_ix,
+            CAST(o_orderkey % 97 AS DOUBLE) AS x1, CAST(floor(o_totalprice) % 89 AS DOUBLE) AS y1,
+            CAST(o_orderkey * 7 % 83 AS DOUBLE) AS x2, CAST(floor(o_totalprice) * 3 % 101 AS DOUBLE) AS y2,
+            concat('line#', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS element
+        FROM orders"""
+POINTS = """
+        SELECT user_id AS drawing_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_id) - 1 AS INT) AS v, x, CAST(0 AS DOUBLE) AS y
+        FROM (SELECT user_id, value AS x, min(event_id) AS first_id FROM events WHERE value IS NOT NULL GROUP BY user_id, value) p"""
+RHO, RADIUS, NEAR = G.RHO, 0.5, 1.5
+
+
+def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    for t in TABLES:
+        if t in text:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(text)
+
+
+def _graph(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    vs = P.vertices(segments)
+    return vs, P.distinct_edges(P.edges(segments, vs))
+
+
+def exact_vertices(spark, sf_dir):
+    return P.vertices(_view(spark, sf_dir, LATTICE))
+
+
+def distinct_edges(spark, sf_dir):
+    return _graph(_view(spark, sf_dir, LATTICE))[1]
+
+
+def euler_counts(spark, sf_dir):
+    return P.euler(*_graph(_view(spark, sf_dir, LATTICE)))
+
+
+def vertex_edge_spectrum(spark, sf_dir):
+    vs, es = _graph(_view(spark, sf_dir, CHORDS))
+    return P.vertex_edge(P.with_ends(es, vs), vs).select(D, F.round("d", 9).alias("s")).distinct()
+
+
+def near_incidences(spark, sf_dir):
+    vs, es = _graph(_view(spark, sf_dir, CHORDS))
+    near = P.vertex_edge(P.with_ends(es, vs), vs, within=F.lit(NEAR))
+    first = Window.partitionBy(D).orderBy("d", "seg_ix", "v")
+    return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= G.SITES).select(D, "place", "seg_ix", "v", F.round("t", 9).alias("t"), F.round("d", 9).alias("d"))
+
+
+def crossings(spark, sf_dir):
+    vs, es = _graph(_view(spark, sf_dir, CHORDS))
+    met = P.crossings(P.with_ends(es.withColumn("e", F.col("seg_ix")), vs))
+    return met.select(D, "e", "e2", "element", "other", F.round(F.col("xy")[0], 6).alias("x"), F.round(F.col("xy")[1], 6).alias("y"))
+
+
+def subdivided_edges(spark, sf_dir):
+    vs, es = _graph(_view(spark, sf_dir, LONG))
+    es = es.withColumn("e", F.col("seg_ix"))
+    on = P.vertex_edge(P.with_ends(es, vs), vs, within=F.lit(1e-9)).where("d = 0")
+    return P.subdivided(es, on).select(D, "a", "b", "element", "parts")
+
+
+def merge_heights(spark, sf_dir):
+    return P.minimum_trees(_view(spark, sf_dir, POINTS)).select(D, F.round("w", 9).alias("w"))
+
+
+def _linked(spark, sf_dir):
+    vs = _view(spark, sf_dir, POINTS)
+    asked = vs.select(D).distinct().withColumns({"lo": F.lit(RADIUS), "hi": F.lit(1.0)})
+    return vs, P.clustered(P.minimum_trees(vs), asked, vs.groupBy(D).agg(F.count("*").alias("n")))
+
+
+def single_linkage(spark, sf_dir):
+    return _linked(spark, sf_dir)[1].select(D, "v", "label")
+
+
+def cluster_stats(spark, sf_dir):
+    vs, found = _linked(spark, sf_dir)
+    p = found.join(vs, [D, "v"])
+    return p.groupBy(D, "label").agg(F.count("*").alias("size"), F.min(F.struct("x", "y")).alias("rep"), F.round(F.max("x") - F.min("x"), 9).alias("diameter")).select(D, "label", "size", F.col("rep.x").alias("rep_x"), F.col("rep.y").alias("rep_y"), "diameter", (F.col("size") <= G.CLUSTER_MAX).alias("fits"))
+
+
+def _line_gaps(spark, sf_dir):
+    vs = _view(spark, sf_dir, POINTS)
+    floor = vs.groupBy(D).agg(G.ulps(G.FLOOR_ULPS, F.max(F.abs("x"))).alias("floor"))
+    heights = P.minimum_trees(vs).select(D, F.round("w", 9).alias("s"))
+    return V.gaps(heights.join(floor, D).where("s > floor").select(D, "s").union(floor).distinct())
+
+
+def scale_gaps(spark, sf_dir):
+    order = Window.partitionBy(D).orderBy((F.col("nth") == 0).cast("int"), F.desc("ratio"), "lo")
+    wide = _line_gaps(spark, sf_dir).where(F.col("ratio") >= RHO)
+    return wide.withColumn("cand", F.row_number().over(order) - 1).where(F.col("cand") < G.CAND_MAX).select(D, "cand", F.round("hi", 9).alias("hi"), "nth")
+
+
+def containing_window(spark, sf_dir):
+    return _line_gaps(spark, sf_dir).where((F.col("lo") <= RADIUS) & (F.col("hi") > RADIUS)).select(D, F.round("hi", 9).alias("hi"), "nth", (F.col("ratio") >= RHO).alias("wide"))
+
+
+def verdicts(spark, sf_dir):
+    return V.verdicts(_view(spark, sf_dir, LATTICE)).select(D, "status", "v", "e", "pieces", "faces", "chi", "dangles")
+
+
+def contested_verdicts(spark, sf_dir):
+    """Chords cross nearly everywhere: what is refused, and why. SQL can't say it; the tests hold it against brute force."""
+    return V.verdicts(_view(spark, sf_dir, CHORDS)).select(D, "status", "reason", "kind", "pieces", "faces", "n_more", F.size("look_at").alias("n_sites"))
+
+
+CLAIMS = "SELECT s_suppkey AS drawing_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS faces, CAST(1 AS BIGINT) AS pieces, CAST(NULL AS BIGINT) AS chi FROM supplier"
+
+
+def checked_claims(spark, sf_dir):
+    return V.checked(_view(spark, sf_dir, CLAIMS), verdicts(spark, sf_dir)).select(D, "verdict", "exit_code", "faces", "pieces")
+
+
+def refusal_histogram(spark, sf_dir):
+    rows = _view(spark, sf_dir, "SELECT CASE WHEN user_id % 3 = 0 THEN 'budget' ELSE 'geometry' END AS kind, event_type AS reason FROM events")
+    return E.histogram(rows, ["kind", "reason"])
+
+
+def latency_quantiles(spark, sf_dir):
+    return E.quantiles(_view(spark, sf_dir, "SELECT event_type, value FROM events"), ["event_type"], "value")
+
+
+def growth_fit(spark, sf_dir):
+    rows = _view(spark, sf_dir, "SELECT o_orderpriority, CAST(o_custkey AS DOUBLE) AS size, o_totalprice AS cost FROM orders")
+    found = E.growth(rows, ["o_orderpriority"], F.col("size"), F.col("cost"), 100000.0)
+    return found.select("o_orderpriority", F.round("exponent", 6).alias("exponent"), F.round("estimate", 3).alias("estimate"))
+
+
+def arm_tally(spark, sf_dir):
+    rows = _view(spark, sf_dir, "SELECT l_returnflag AS arm, l_linestatus AS level, CASE WHEN l_quantity < 40 THEN l_linenumber END AS answer, l_partkey % 7 + 1 AS truth FROM lineitem")
+    return E.tally(rows, ["arm", "level"])
+
+
+def strided_sample(spark, sf_dir):
+    return E.every(_view(spark, sf_dir, "SELECT c_custkey, c_name FROM customer"), 7, ["c_name", "c_custkey"])
+
+
+NOISY = f"SELECT drawing_id, seg_ix, x1 + seg_ix * 1e-10 AS x1, y1, x2 - seg_ix * 1e-10 AS x2, y2, element FROM ({LATTICE}) s"
+
+
+def rounded_faces(spark, sf_dir):
+    return E.rounded_faces(_view(spark, sf_dir, NOISY))
+
+
+def raster_holes(spark, sf_dir):
+    return E.raster_holes(_view(spark, sf_dir, LATTICE), 256)
+
+
+def walked_faces(spark, sf_dir):
+    found = P.bounded_faces(*_graph(_view(spark, sf_dir, LATTICE)))
+    return found.groupBy(D).agg(F.count("*").alias("faces"), F.sum("area2").alias("area2"))
+
+
+def smallest_gap(spark, sf_dir):
+    return P.smallest_gap(*_graph(_view(spark, sf_dir, CHORDS))).select(D, F.round("gap", 9).alias("gap"))
+
+
+def union_counts(spark, sf_dir):
+    lattice = _view(spark, sf_dir, LATTICE)
+    return P.euler(*_graph(figures.shifted_union(lattice, lattice))).drop("dangles")
+
+
+def loop_counts(spark, sf_dir):
+    return P.euler(*_graph(figures.edited(_view(spark, sf_dir, LATTICE), "loop"))).drop("dangles")
+
+
+def svg_round_trip(spark, sf_dir):
+    return svg.segments(svg.parsed(svg.written(_view(spark, sf_dir, LATTICE).withColumn(D, F.col(D).cast("string")))))
+
+
+DOCUMENTS = """SELECT p_partkey AS drawing_id, concat('<svg>', repeat('<text>t</text>', CAST(p_size % 4 AS INT)), repeat('<image/>', CAST(p_size % 3 AS INT)),
+    repeat('<line x1="0" x2="9"/>', CAST(p_size % 2 AS INT)), '<path/></svg>') AS svg FROM part"""
+
+
+def skipped_elements(spark, sf_dir):
+    rows = svg.parsed(_view(spark, sf_dir, DOCUMENTS))
+    return rows.select(F.explode("skipped").alias("tag", "n")).groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("drawings"))
+
+
+EVENTS = """SELECT concat('/drawings/u', user_id, '.svg') AS path, event_id AS seq, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'CERTIFIED' ELSE 'REFUSED' END AS status,
+    CAST(floor(value) % 3 + 1 AS BIGINT) AS pieces, CAST(floor(value) % 5 AS BIGINT) AS faces, CAST(event_id % 2 AS BIGINT) AS dangles, CAST(10 AS DOUBLE) AS rho, 'derived' AS grid_source,
+    CASE WHEN event_type IN ('click', 'view', 'purchase') THEN NULL WHEN event_id % 3 = 0 THEN 'EDGES_CROSS' ELSE 'NO_GEOMETRY' END AS reason FROM events"""
+
+
+def change_stamps(spark, sf_dir):
+    return stamps.stamped(_view(spark, sf_dir, EVENTS))
+
+
+def stamp_stream(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    source.createOrReplaceTempView("events_stream")
+    found = stamps.stream(spark.sql(EVENTS.replace("FROM events", "FROM events_stream")))
+    run = found.writeStream.format("memory").queryName("chalkline_stamps").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table("chalkline_stamps")
+
+
+QUERIES = {f.__name__: f for f in (
+    exact_vertices, distinct_edges, euler_counts, vertex_edge_spectrum, near_incidences, crossings, subdivided_edges, merge_heights, single_linkage,
+    cluster_stats, scale_gaps, containing_window, verdicts, contested_verdicts, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
+    strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, union_counts, loop_counts, svg_round_trip, skipped_elements, change_stamps, stamp_stream,
+)}
+
+
+def _vertices_sql(segments: str) -> str:
+    return f"""WITH RECURSIVE s AS ({segments}), ends AS (
+        SELECT drawing_id, 2 * seg_ix AS ord, x1 AS x, y1 AS y FROM s UNION ALL SELECT drawing_id, 2 * seg_ix + 1, x2, y2 FROM s
+    ), g AS (SELECT drawing_id, x, y, min(ord) AS ord FROM ends GROUP BY drawing_id, x, y),
+    vs AS (SELECT drawing_id, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY ord) - 1 AS INTEGER) AS v, x, y FROM g),
+    es AS (
+        SELECT s.drawing_id, least(p.v, q.v) AS a, greatest(p.v, q.v) AS b, min(s.seg_ix) AS seg_ix, arg_min(s.element, s.seg_ix) AS element, count(*) AS n
+        FROM s JOIN vs p ON p.drawing_id = s.drawing_id AND p.x = s.x1 AND p.y = s.y1 JOIN vs q ON q.drawing_id = s.drawing_id AND q.x = s.x2 AND q.y = s.y2
+        GROUP BY 1, 2, 3
+    ), ee AS (
+        SELECT es.*, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y FROM es JOIN vs p ON p.drawing_id = es.drawing_id AND p.v = es.a JOIN vs q ON q.drawing_id = es.drawing_id AND q.v = es.b
+    )"""
+
+
+_DISTANCES = """, tt AS (
+        SELECT ee.*, vs.v, vs.x, vs.y, CASE WHEN (bx-ax)*(bx-ax) + (b_y-ay)*(b_y-ay) > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x-ax)*(bx-ax) + (y-ay)*(b_y-ay)) / ((bx-ax)*(bx-ax) + (b_y-ay)*(b_y-ay)))) ELSE 0 END AS t
+        FROM ee JOIN vs ON vs.drawing_id = ee.drawing_id AND vs.v <> ee.a AND vs.v <> ee.b
+    ), dd AS (SELECT *, sqrt((x - (ax + t*(bx-ax)))*(x - (ax + t*(bx-ax))) + (y - (ay + t*(b_y-ay)))*(y - (ay + t*(b_y-ay)))) AS d FROM tt)"""
+_COUNTS = """, hop AS (SELECT drawing_id, a AS u, b AS w FROM es WHERE a <> b UNION ALL SELECT drawing_id, b, a FROM es WHERE a <> b),
+    reach(drawing_id, v, root) AS (
+        SELECT drawing_id, v, v FROM vs UNION SELECT hop.drawing_id, hop.w, reach.root FROM reach JOIN hop ON hop.drawing_id = reach.drawing_id AND hop.u = reach.v AND reach.root < hop.w
+    ), roots AS (SELECT drawing_id, v, min(root) AS root FROM reach GROUP BY 1, 2),
+    nv AS (SELECT drawing_id, count(*) AS v, count(DISTINCT root) AS pieces FROM roots GROUP BY 1),
+    ne AS (SELECT drawing_id, count(*) AS e FROM es WHERE a <> b GROUP BY 1),
+    loose AS (SELECT drawing_id, count(*) AS dangles FROM (SELECT drawing_id, u FROM hop GROUP BY 1, 2 HAVING count(*) = 1) x GROUP BY 1),
+    counts AS (SELECT nv.drawing_id, v, coalesce(e, 0) AS e, pieces, coalesce(e, 0) - v + pieces AS faces, v - coalesce(e, 0) AS chi, coalesce(dangles, 0) AS dangles FROM nv LEFT JOIN ne USING (drawing_id) LEFT JOIN loose USING (drawing_id))"""
+_EULER = _vertices_sql(LATTICE) + _COUNTS
+_LINE = f"""WITH p AS ({POINTS}), h AS (SELECT drawing_id, round(x - lag(x) OVER (PARTITION BY drawing_id ORDER BY x), 9) AS w FROM p)"""
+_GAPS = _LINE + f""", fl AS (SELECT drawing_id, {G.FLOOR_ULPS * G.EPS!r}::DOUBLE * CASE WHEN max(abs(x)) = 0 THEN 1 ELSE max(abs(x)) END AS floor FROM p GROUP BY 1),
+    sp AS (SELECT DISTINCT h.drawing_id, w AS s FROM h JOIN fl USING (drawing_id) WHERE w > floor UNION SELECT drawing_id, floor FROM fl),
+    gp AS (SELECT drawing_id, s AS lo, lead(s) OVER (PARTITION BY drawing_id ORDER BY s) AS hi, row_number() OVER (PARTITION BY drawing_id ORDER BY s) - 1 AS nth FROM sp),
+    gaps AS (SELECT *, hi / lo AS ratio FROM gp WHERE hi IS NOT NULL)"""
+_CLUSTERS = _LINE + f""", m AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY drawing_id ORDER BY x) > {RADIUS} THEN 1 ELSE 0 END AS cut FROM p),
+    c AS (SELECT *, sum(cut) OVER (PARTITION BY drawing_id ORDER BY x) AS k FROM m),
+    l AS (SELECT *, min(v) OVER (PARTITION BY drawing_id, k) AS head FROM c),
+    lab AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY drawing_id ORDER BY head) - 1 AS INTEGER) AS label FROM l)"""
+_STAMPS = f"""WITH e AS ({EVENTS}), w AS (
+        SELECT *, lag(status) OVER o AS ws, lag(faces) OVER o AS wf, lag(reason) OVER o AS wr FROM e WINDOW o AS (PARTITION BY path ORDER BY seq)
+    ), t AS (
+        SELECT path, seq, CASE
+            WHEN status = 'CERTIFIED' THEN concat('drawing ', regexp_extract(path, '[^/]*$'), '  pieces ', pieces, '  faces ', CASE WHEN ws = 'CERTIFIED' AND wf <> faces THEN concat(wf, ' -> ', faces) ELSE CAST(faces AS VARCHAR) END, CASE WHEN dangles > 0 THEN concat('  dangles ', dangles) ELSE '' END)
+            WHEN wr IS DISTINCT FROM reason THEN concat('drawing ', regexp_extract(path, '[^/]*$'), '  ', CASE reason WHEN 'EDGES_CROSS' THEN 'edges cross' ELSE 'no line work' END) END AS stamp
+        FROM w
+    ) SELECT * FROM t WHERE stamp IS NOT NULL"""
+
+SQL = {
+    "exact_vertices": _vertices_sql(LATTICE) + " SELECT drawing_id, v, x, y FROM vs",
+    "distinct_edges": _vertices_sql(LATTICE) + " SELECT drawing_id, a, b, seg_ix, element, n FROM es",
+    "euler_counts": _EULER + " SELECT * FROM counts",
+    "vertex_edge_spectrum": _vertices_sql(CHORDS) + _DISTANCES + " SELECT DISTINCT drawing_id, round(d, 9) AS s FROM dd",
+    "near_incidences": _vertices_sql(CHORDS) + _DISTANCES + f""", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY d, seg_ix, v) AS INTEGER) AS place FROM dd WHERE d < {NEAR})
+        SELECT drawing_id, place, seg_ix, v, round(t, 9) AS t, round(d, 9) AS d FROM r WHERE place <= {G.SITES}""",
+    "crossings": _vertices_sql(CHORDS) + """, x AS (
+        SELECT p.drawing_id, p.seg_ix AS e, q.seg_ix AS e2, p.element, q.element AS other, p.ax, p.ay, p.bx, p.b_y, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.b_y AS dy
+        FROM ee p JOIN ee q ON p.drawing_id = q.drawing_id AND p.seg_ix < q.seg_ix AND p.a NOT IN (q.a, q.b) AND p.b NOT IN (q.a, q.b)
+    ), y AS (SELECT *, ((cx-ax)*(dy-cy) - (cy-ay)*(dx-cx)) / ((bx-ax)*(dy-cy) - (b_y-ay)*(dx-cx)) AS u FROM x
+        WHERE (((bx-ax)*(cy-ay) - (b_y-ay)*(cx-ax)) > 0) <> (((bx-ax)*(dy-ay) - (b_y-ay)*(dx-ax)) > 0) AND (((dx-cx)*(ay-cy) - (dy-cy)*(ax-cx)) > 0) <> (((dx-cx)*(b_y-cy) - (dy-cy)*(bx-cx)) > 0)
+    ) SELECT drawing_id, e, e2, element, other, round(ax + u*(bx-ax), 6) AS x, round(ay + u*(b_y-ay), 6) AS y FROM y""",
+    "subdivided_edges": _vertices_sql(LONG) + _DISTANCES + """, stops AS (
+        SELECT drawing_id, seg_ix, element, -1.0 AS t, a AS v FROM es UNION ALL SELECT drawing_id, seg_ix, element, 2.0, b FROM es UNION ALL SELECT drawing_id, seg_ix, element, t, v FROM dd WHERE d = 0
+    ), hops AS (SELECT *, lead(v) OVER (PARTITION BY drawing_id, seg_ix ORDER BY t, v) AS w FROM stops)
+        SELECT drawing_id, least(v, w) AS a, greatest(v, w) AS b, arg_min(element, seg_ix) AS element, count(*) AS parts FROM hops WHERE w IS NOT NULL GROUP BY 1, 2, 3""",
+    "merge_heights": _LINE + " SELECT drawing_id, w FROM h WHERE w IS NOT NULL",
+    "single_linkage": _CLUSTERS + " SELECT drawing_id, v, label FROM lab",
+    "cluster_stats": _CLUSTERS + f" SELECT drawing_id, label, count(*) AS size, min(x) AS rep_x, CAST(0 AS DOUBLE) AS rep_y, round(max(x) - min(x), 9) AS diameter, count(*) <= {G.CLUSTER_MAX} AS fits FROM lab GROUP BY 1, 2",
+    "scale_gaps": _GAPS + f""", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY CASE WHEN nth = 0 THEN 1 ELSE 0 END, ratio DESC, lo) - 1 AS INTEGER) AS cand FROM gaps WHERE ratio >= {RHO})
+        SELECT drawing_id, cand, round(hi, 9) AS hi, CAST(nth AS INTEGER) AS nth FROM r WHERE cand < {G.CAND_MAX}""",
+    "containing_window": _GAPS + f" SELECT drawing_id, round(hi, 9) AS hi, CAST(nth AS INTEGER) AS nth, ratio >= {RHO} AS wide FROM gaps WHERE lo <= {RADIUS} AND hi > {RADIUS}",
+    "verdicts": _EULER + " SELECT drawing_id, 'CERTIFIED' AS status, v, e, pieces, faces, chi, dangles FROM counts",
+    "checked_claims": _EULER + f""" SELECT counts.drawing_id, CASE WHEN (c.faces IS NULL OR c.faces = counts.faces) AND c.pieces = counts.pieces THEN 'HELD' ELSE 'BROKEN' END AS verdict,
+        CASE WHEN (c.faces IS NULL OR c.faces = counts.faces) AND c.pieces = counts.pieces THEN 0 ELSE 1 END AS exit_code, counts.faces, counts.pieces FROM counts JOIN ({CLAIMS}) c USING (drawing_id)""",
+    "refusal_histogram": "SELECT kind, reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6)::DOUBLE AS percent FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'budget' ELSE 'geometry' END AS kind, event_type AS reason FROM events) x GROUP BY ROLLUP (kind, reason)",
+    "latency_quantiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+        SELECT event_type, count(*) AS n, median(value) AS median, max(CASE WHEN k = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) THEN value END) AS p95, max(value) AS largest FROM r GROUP BY 1""",
+    "growth_fit": """SELECT o_orderpriority, round(regr_slope(ln(o_totalprice), ln(o_custkey::DOUBLE)), 6) AS exponent,
+        round(exp(regr_intercept(ln(o_totalprice), ln(o_custkey::DOUBLE)) + regr_slope(ln(o_totalprice), ln(o_custkey::DOUBLE)) * ln(100000.0::DOUBLE)), 3) AS estimate FROM orders WHERE o_custkey > 0 AND o_totalprice > 0 GROUP BY 1""",
+    "arm_tally": """SELECT l_returnflag AS arm, l_linestatus AS level, count(*) FILTER (l_quantity < 40 AND l_linenumber <> l_partkey % 7 + 1) AS wrong,
+        count(*) FILTER (l_quantity < 40 AND l_linenumber = l_partkey % 7 + 1) AS exact, count(*) FILTER (NOT l_quantity < 40) AS refused FROM lineitem GROUP BY 1, 2""",
+    "strided_sample": "SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS k FROM customer) x WHERE k % 7 = 0",
+    "rounded_faces": _EULER + " SELECT drawing_id, faces FROM counts",
+    "raster_holes": _EULER + " SELECT drawing_id, faces AS holes FROM counts",
+    "smallest_gap": _vertices_sql(CHORDS) + _DISTANCES + """, apart AS (SELECT p.drawing_id, sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)) AS d FROM vs p JOIN vs q ON p.drawing_id = q.drawing_id AND p.v < q.v UNION ALL SELECT drawing_id, d FROM dd)
+        SELECT drawing_id, round(min(d), 9) AS gap FROM apart WHERE d > 0 GROUP BY 1""",
+    "union_counts": _EULER + " SELECT drawing_id, 2 * v AS v, 2 * e AS e, 2 * pieces AS pieces, 2 * faces AS faces, 2 * chi AS chi FROM counts",
+    "loop_counts": _EULER + " SELECT drawing_id, v + 4 AS v, e + 5 AS e, pieces, faces + 1 AS faces, chi - 1 AS chi FROM counts",
+    "svg_round_trip": f"SELECT CAST(drawing_id AS VARCHAR) AS drawing_id, seg_ix, x1, y1, x2, y2, concat('line#s', seg_ix) AS element FROM ({LATTICE}) s",
+    "skipped_elements": """WITH t AS (SELECT 'text' AS tag, p_size % 4 AS n FROM part UNION ALL SELECT 'image', p_size % 3 FROM part UNION ALL SELECT 'path-without-d', 1 FROM part)
+        SELECT tag, CAST(sum(n) AS BIGINT) AS n, count(*) AS drawings FROM t WHERE n > 0 GROUP BY 1""",
+    "change_stamps": _STAMPS,
+    "stamp_stream": _STAMPS,
+}

@@ -52,7 +52,7 @@ def sizes_of(segments: DataFrame, vs: DataFrame) -> DataFrame:
 
 def spectrum(vs: DataFrame, es: DataFrame, trees: DataFrame, sizes: DataFrame) -> DataFrame:
     """(drawing_id, s): the floor and every larger separation, each once."""
-    apart = P.vertex_edge(P.with_ends(es, vs), vs).select(D, F.col("d").alias("s")).distinct()
+    apart = P.vertex_edge(P.with_ends(P.distinct_edges(es), vs), vs).select(D, F.col("d").alias("s")).distinct()
     found = trees.select(D, F.col("w").alias("s")).union(apart).join(sizes.select(D, "floor"), D).where("s > floor").select(D, "s")
     return found.union(sizes.select(D, F.col("floor").alias("s"))).distinct()
 
