@@ -21,8 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("CHALKLINE_SCRATCH", tempfile.mkdtemp(prefix="chalkline-"))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, and no lineage that a lost executor could break."""
+ROWS_A_FILE = 250_000
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: computed once, and no lineage that a lost executor could break.
+
+    rows: about how many narrow rows df has, if known; so many files are written as these need.
+    """
+    df = df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

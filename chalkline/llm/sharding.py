@@ -61,7 +61,7 @@ def _cut(sums: list[tuple[int, float]], goal: float) -> tuple[int, float, float]
     return (sums[-1][0], before - sums[-1][1], sums[-1][1]) if sums else (0, 0.0, 0.0)
 
 
-def _tree(groups: DataFrame, room: list[float]) -> DataFrame:
+def _tree(groups: DataFrame, room: list[float], n: int) -> DataFrame:
     """groups with shard: the leaves get bytes in proportion to room."""
     cells = {0: (0, len(room))}  # the leaves [from, to) below a cell
     rows, done = groups.withColumn("cell", F.lit(0)), {}
@@ -100,7 +100,7 @@ def _tree(groups: DataFrame, room: list[float]) -> DataFrame:
         moved = F.when(F.col("cell").isin(*cells), F.when(right, 2 * F.col("cell") + 2).otherwise(2 * F.col("cell") + 1)).otherwise(F.col("cell"))
         rows = rows.withColumn("cell", moved)
         if len(cells_next) and max(cells_next) < 4 * len(room):
-            rows = stored(rows, "cells")
+            rows = stored(rows, "cells", n)
         cells = cells_next
     return rows.withColumn("shard", _chosen(done, "value").cast("int"))
 
@@ -113,7 +113,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     shard from 0 without gaps. Null metadata, missing columns and null ids count as the lowest value of a dimension.
     """
     rows = stored(_weighed(docs), "weighed")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     target = total / n_shards
     whole = _groups(rows)
     huge = [r.grp for r in whole.where(F.col("weight") > target).select("grp").collect()] if total else []  # fewer than n_shards
@@ -121,7 +121,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
         single = F.concat_ws("/", "grp", F.col("doc_id").cast("string"), F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)).cast("string"))
         rows = stored(rows.withColumn("grp", F.when(F.col("grp").isin(huge), single).otherwise(F.col("grp"))), "weighed")
         whole = _groups(rows)
-    groups = stored(whole, "groups")
+    groups = stored(whole, "groups", n)
     heavy = [(r.grp, r.weight) for r in groups.where(F.col("weight") > target / HEAVY).orderBy(F.desc("weight"), "grp").select("grp", "weight").collect()]
     load, placed = [0] * n_shards, {}
     for grp, weight in heavy:
@@ -131,11 +131,11 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     level = max(target, *load)
     room = [max(0.0, target - x) for x in load] if max(load) <= target else [max(0.0, level - x) for x in load]
     light = groups.where(F.col("weight") <= target / HEAVY)
-    shard_of = _tree(light, room).select("grp", "shard")
+    shard_of = _tree(light, room, n).select("grp", "shard")
     if placed:
         fixed = groups.sparkSession.createDataFrame(list(placed.items()), "grp string, shard int")
         shard_of = shard_of.union(fixed)
-    dealt = stored(rows.join(shard_of, "grp").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BINS)).cast("int").alias("bin")), "dealt")
+    dealt = stored(rows.join(shard_of, "grp").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BINS)).cast("int").alias("bin")), "dealt", n)
     by_shard = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "bin").agg(F.count("*").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(by_shard), F.lit(0))).select("shard", "bin", "skip")
     inside = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size")) - 1
