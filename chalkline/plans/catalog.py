@@ -185,7 +185,7 @@ def raster_holes(spark, sf_dir):
 
 def walked_faces(spark, sf_dir):
     found = P.bounded_faces(*_graph(_view(spark, sf_dir, LATTICE)))
-    return found.groupBy(D).agg(F.count("*").alias("faces"), F.sum("area2").alias("area2"))
+    return found.groupBy(D).agg(F.count("*").alias("faces"))
 
 
 def smallest_gap(spark, sf_dir):
@@ -321,6 +321,7 @@ SQL = {
         count(*) FILTER (l_quantity < 40 AND l_linenumber = l_partkey % 7 + 1) AS exact, count(*) FILTER (NOT l_quantity < 40) AS refused FROM lineitem GROUP BY 1, 2""",
     "strided_sample": "SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS k FROM customer) x WHERE k % 7 = 0",
     "rounded_faces": _EULER + " SELECT drawing_id, faces FROM counts",
+    "walked_faces": _EULER + " SELECT drawing_id, faces FROM counts WHERE faces > 0",
     "raster_holes": _EULER + " SELECT drawing_id, faces AS holes FROM counts",
     "smallest_gap": _vertices_sql(CHORDS) + _DISTANCES + """, apart AS (SELECT p.drawing_id, sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)) AS d FROM vs p JOIN vs q ON p.drawing_id = q.drawing_id AND p.v < q.v UNION ALL SELECT drawing_id, d FROM dd)
         SELECT drawing_id, round(min(d), 9) AS gap FROM apart WHERE d > 0 GROUP BY 1""",
