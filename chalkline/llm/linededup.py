@@ -119,18 +119,19 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     later copies becomes empty. Lines end at line feeds only.
     """
     gone = repeated_lines(docs, min_words).groupBy(*KEY).agg(F.collect_set("pos").alias("_gone"))
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    # A null id and its documents meet too: both sides get a column that is never null.
-    keyed = gone.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_id"), F.col("th").alias("_th"), "_gone")
-    joined = own.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).join(keyed, ["_id", "_th"], "left")
-    lines = F.split("text", "\n", -1)
+    # The rows travel as one struct, so that no column of theirs clashes. A null id and its documents meet too.
+    lacking = F.lit(-(1 << 62))
+    own = docs.select(F.struct(*docs.columns).alias("d")).select("d", F.xxhash64("d.text").alias("th"), F.coalesce(F.col("d.doc_id").cast("long"), lacking).alias("id"))
+    keyed = gone.select(F.coalesce("doc_id", lacking).alias("id"), "th", "_gone")
+    joined = own.join(keyed, ["id", "th"], "left")
+    lines = F.split("d.text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    n_deleted = F.coalesce(F.size("_gone"), F.lit(0))
-    n_deleted = F.when(F.col("_gone").isNull(), 0).otherwise(n_deleted)
+    whole = F.col("_gone").isNull()
+    text = F.when(whole, F.col("d.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    n_lines = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(lines))
+    n_deleted = F.when(whole, 0).otherwise(F.size("_gone"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in others], n_lines.cast("long").alias("n_lines"), n_deleted.cast("long").alias("n_deleted"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in others], n_lines.cast("long").alias("n_lines"), n_deleted.cast("long").alias("n_deleted"))
 
 
 SQL = f"""

@@ -167,7 +167,8 @@ def _score(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.Rec
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with quality_score, from 0 to 1, in every row; a null or empty text has a score too."""
+    """docs with quality_score, from 0 to 1, in every row, in place of a column of that name; a null or empty text has a score too."""
+    docs = docs.drop("quality_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     return docs.mapInArrow(lambda it: _score(it, sent, at), StructType([*docs.schema.fields]).add("quality_score", DoubleType()))

@@ -241,9 +241,10 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, key_
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one document of each group of similar_documents(): that of the smallest id. Null ids stay."""
     groups = stored(similar_documents(docs, **parameters), "groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("n_rows").alias("_n"))
-    rest = docs.join(kept, docs.doc_id == kept._id)
-    out = rest.where("_n = 1").select(docs.columns).union(docs.where("doc_id is null"))
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("n_rows").alias("n"))
+    # The rows travel as one struct, so that no column of theirs clashes.
+    rest = docs.select(F.struct(*docs.columns).alias("d")).join(kept, F.col("d.doc_id").cast("long") == F.col("id"))
+    out = rest.where("n = 1").select("d.*").union(docs.where("doc_id is null"))
     if groups.where("n_rows > 1").limit(1).count():
-        out = out.union(rest.where("_n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+        out = out.union(rest.where("n > 1").select("d.*").dropDuplicates(["doc_id"]))
     return out
