@@ -5,11 +5,11 @@ ranks by the first 2^(j+1), since a suffix is two such halves. A rank is the num
 needs how many suffixes of the same rank have a smaller second half; equal halves are counted before they are shuffled, and
 the running counts of one rank are taken in two steps, so that a very frequent line is no single task.
 
-A run is deleted where it has occurred before, in the order of doc_id and line, if it has at least min_words words. For each
-line, the shortest run from it that has so many words is looked up in the array: suffixes that share it form an interval in
-which the longest common prefix is at least that run, and all of the interval but its first suffix are later copies. These
-shortest runs cover every longer one, so their union is the union of the maximal repeated runs. Depth beyond the longest of
-them cannot change what is deleted, and doubling ends there.
+A run is deleted where it has occurred before, in the order of doc_id and line, if it has at least min_words words. The
+shortest runs from and up to each line that have so many words are looked up in the array: suffixes that share one form an
+interval in which the longest common prefix is at least that run, and all of the interval but its first suffix are later
+copies. These shortest runs cover every longer one, so their union is the union of the maximal repeated runs. Depth beyond
+the longest of them cannot change what is deleted, and doubling ends there.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _islands(lines: DataFrame, min_words: int) -> DataFrame:
-    """Lines of every stretch of repeated lines that has enough words: (doc_id, th, start, pos, h1, h2, before, total).
+    """Lines of every stretch of repeated lines that has enough words: (doc_id, th, start, pos, h1, h2, w, before, total).
 
     Only repeated lines can be in a repeated run. before: words of the stretch before the line.
     """
@@ -44,18 +44,26 @@ def _islands(lines: DataFrame, min_words: int) -> DataFrame:
     stretch = Window.partitionBy(*KEY, "start")
     before = F.coalesce(F.sum("w").over(stretch.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     summed = shared.withColumn("before", before).withColumn("total", F.sum("w").over(stretch).cast("int"))
-    return summed.where(F.col("total") >= min_words).drop("w")
+    return summed.where(F.col("total") >= min_words)
 
 
-def _ends(rows: DataFrame, min_words: int) -> DataFrame:
-    """rows with end: the first line after the shortest run from pos that has enough words; null if there is none."""
+def _runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, th, pos, end, length): the shortest runs with enough words from each line on, and up to each line.
+
+    end is the line after the run. Both come from one pass over the lines in the order of the words before them, in which
+    a line that asks finds the next line by words, downwards for the end and upwards for the start.
+    """
     own = [*KEY, "start"]
     here = rows.select(*own, "pos", F.col("before").alias("at"), F.lit(0).alias("asks"))
     last = rows.groupBy(*own).agg((F.max("pos") + 1).alias("pos"), F.max("total").alias("at"), F.lit(0).alias("asks"))
-    asking = rows.select(*own, "pos", (F.col("before") + min_words).alias("at"), F.lit(1).alias("asks"))
+    found = F.last(F.when(F.col("asks") == 0, F.col("pos")), ignorenulls=True)
     down = Window.partitionBy(*own).orderBy(F.desc("at"), "asks", F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    found = here.unionByName(last).unionByName(asking).withColumn("end", F.last(F.when(F.col("asks") == 0, F.col("pos")), ignorenulls=True).over(down))
-    return found.where("asks = 1").select(*own, "pos", "end")
+    up = Window.partitionBy(*own).orderBy("at", "asks", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    from_here = rows.select(*own, "pos", (F.col("before") + min_words).alias("at"), F.lit(1).alias("asks"))
+    to_here = rows.select(*own, "pos", (F.col("before") + F.col("w") - min_words).cast("int").alias("at"), F.lit(1).alias("asks"))
+    onward = here.unionByName(last).unionByName(from_here).withColumn("end", found.over(down)).where("asks = 1").select(*KEY, "pos", "end")
+    back = here.unionByName(to_here).withColumn("first", found.over(up)).where("asks = 1").select(*KEY, F.col("first").alias("pos"), (F.col("pos") + 1).alias("end"))
+    return onward.unionByName(back).where("pos is not null and end is not null").distinct().withColumn("length", F.col("end") - F.col("pos"))
 
 
 def _running(counts: DataFrame, group: list[str], order: list[Column], bin_: Column) -> DataFrame:
@@ -88,7 +96,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, pos): every line that lies in a later copy of a run of at least min_words words. th: hash of the text."""
     lines = stored(_lines(docs).distinct(), "lines")
     rows = stored(_islands(lines, min_words), "islands")
-    runs = stored(_ends(rows, min_words).where("end is not null").withColumn("length", F.col("end") - F.col("pos")), "runs")
+    runs = stored(_runs(rows, min_words), "runs")
     n_rows = rows.count()
     longest = runs.agg(F.max("length")).first()[0] or 0
     ranks = stored(_first_ranks(rows).select(*KEY, "pos", "r"), "ranks")
@@ -142,9 +150,10 @@ SQL = f"""
         SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM l
     ), b AS (
         SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM c
+    ), p AS (
+        SELECT s.doc_id, s.pos, t.pos AS stop FROM b s JOIN b t ON s.doc_id = t.doc_id AND t.pos >= s.pos AND t.upto - s.upto + s.w >= {MIN_WORDS}
     ), e AS (
-        SELECT s.doc_id, s.pos, min(t.pos) AS stop FROM b s JOIN b t ON s.doc_id = t.doc_id AND t.pos >= s.pos AND t.upto - s.upto + s.w >= {MIN_WORDS}
-        GROUP BY ALL
+        SELECT doc_id, pos, min(stop) AS stop FROM p GROUP BY doc_id, pos UNION SELECT doc_id, max(pos), stop FROM p GROUP BY doc_id, stop
     ), r AS (
         SELECT e.doc_id, e.pos, e.stop, string_agg(b.line, chr(10) ORDER BY b.pos) AS run
         FROM e JOIN b ON e.doc_id = b.doc_id AND b.pos BETWEEN e.pos AND e.stop GROUP BY ALL
