@@ -74,10 +74,11 @@ class Space:
         """(item, first word, cosine) of the passages of a text."""
         for start in range(0, max(1, len(feature) - STRIDE), CHUNK):
             part = feature[start : start + CHUNK + STRIDE]
-            cut = np.arange(0, len(part), STRIDE)
-            block = np.add.reduceat(self.basis[self.row[part]], cut, axis=0)
-            weight = np.add.reduceat(np.square(self.idf[part]), cut)
-            if len(cut) > 1:
+            lacking = -len(part) % STRIDE  # the last block is filled up with features that weigh nothing
+            row = np.concatenate([self.row[part], np.full(lacking, len(self.basis) - 1)])
+            block = self.basis[row].reshape(-1, STRIDE, self.basis.shape[1]).sum(axis=1)
+            weight = np.concatenate([np.square(self.idf[part]), np.zeros(lacking, np.float32)]).reshape(-1, STRIDE).sum(axis=1)
+            if len(block) > 1:
                 block, weight = block[:-1] + block[1:], weight[:-1] + weight[1:]
             score = (block @ self.latent.T) / np.sqrt(np.maximum(weight, 1e-12))[:, None]
             for w, i in np.argwhere(score >= CANDIDATE).tolist():
