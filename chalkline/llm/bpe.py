@@ -23,7 +23,7 @@ from .common import BATCH
 
 LEAF_BITS = 8  # 256 ranks for each leaf of the bitmap
 LEAF_MASK = (1 << LEAF_BITS) - 1
-CACHED_BYTES, CACHED_PIECES = 48, 250_000  # of each of two generations in a worker; other pieces are encoded anew, with the same result
+CACHED_BYTES, CACHED_PIECES = 48, 200_000  # of each of two generations in a worker; other pieces are encoded anew, with the same result
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -176,6 +176,12 @@ def _decode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
+def _encode_decode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Both in one worker, which then holds the pieces once."""
+    for part in _encode(batches, ranks, pattern):
+        yield from _decode(iter([part]), ranks, pattern)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every row; ids: packed little-endian unsigned 32-bit integers. A null text has none.
 
@@ -193,5 +199,6 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    both = decoded(encoded(docs, path, pattern), path, pattern)
+    ranks = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    both = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _encode_decode(it, ranks, pattern), "doc_id long, ids binary, decoded binary")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

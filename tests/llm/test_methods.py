@@ -340,3 +340,10 @@ def test_encoding_of_long_pieces():
     for text in ("a" * 20_001, "ab" * 9000, "xyzq" * 5000, "é" * 7000):
         assert bpe.merge(text.encode(), RANKS) == enc.encode_ordinary(text)
     assert len(regex.findall(public_tokenizers.PATTERN, "a" * 100)) == 1
+
+
+def test_encoding_and_decoding_apart(docs):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    apart = bpe.decoded(bpe.encoded(docs, path, pattern), path, pattern).select("doc_id", F.sha2("ids", 256).alias("a"), F.sha2("decoded", 256).alias("b"))
+    both = bpe.round_trip(docs, path, pattern).select("doc_id", F.col("ids_sha256").alias("a"), F.col("decoded_sha256").alias("b"))
+    assert apart.exceptAll(both).count() == 0 and both.exceptAll(apart).count() == 0
