@@ -168,7 +168,7 @@ def clustered(trees: DataFrame, gaps: DataFrame, sizes: DataFrame) -> DataFrame:
             held = w <= lo
             label = labels_of(int(n), np.stack([a[held], b[held]], axis=1))
             parts.append(pd.DataFrame({D: key[0], "lo": lo, "hi": hi, "v": np.arange(int(n)), "label": label}))
-        return pd.concat(parts) if parts else pd.DataFrame({D: [], "lo": [], "hi": [], "v": [], "label": []})
+        return pd.concat(parts) if parts else pd.DataFrame()  # a drawing without a wide gap
 
     asked = gaps.join(sizes.select(D, "n"), D)
     return trees.withColumnRenamed(D, "_id").groupBy("_id").cogroup(asked.groupBy(D)).applyInPandas(cut, f"{D} {kind}, lo double, hi double, v int, label int")

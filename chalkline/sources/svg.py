@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -294,16 +294,16 @@ def written(segs: DataFrame, as_path: bool = False) -> DataFrame:
     return segs.groupBy("drawing_id").agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(parts, ""), F.lit("</svg>")).alias("svg"))
 
 
-def looks_like_svg(text) -> F.Column:
+def looks_like_svg(text: Column) -> Column:
     """Whether a text is a document and no path: it starts with < and has <svg early, or is declared as XML."""
     head = F.lower(F.ltrim(F.substring(text, 1, 512)))
-    return head.startswith("<") & (F.instr(F.lower(F.substring(text, 1, 4096)), "<svg").__gt__(0) | head.startswith("<?xml"))
+    return head.startswith("<") & (F.lower(F.substring(text, 1, 4096)).contains("<svg") | head.startswith("<?xml"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(drawing_id, source, svg): the files below path, through Spark's own file reader; broken UTF-8 is replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.svg").load(path)
-    return files.select(F.col("path").alias("drawing_id"), F.col("path").alias("source"), F.decode(F.col("content"), F.lit("UTF-8")).alias("svg"))
+    return files.select(F.col("path").alias("drawing_id"), F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("svg"))
 
 
 class SvgSource(DataSource):
