@@ -38,7 +38,8 @@ def _islands(lines: DataFrame, min_words: int) -> DataFrame:
 
     Only repeated lines can be in a repeated run. before: words of the stretch before the line.
     """
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # Written before it is joined: a join of two plain exchanges is one that adaptive execution can split at a hot line.
+    often = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "often", lines.count() // 2)
     in_doc = Window.partitionBy(*KEY).orderBy("pos")
     shared = lines.join(often, ["h1", "h2"]).withColumn("start", F.col("pos") - F.row_number().over(in_doc))
     stretch = Window.partitionBy(*KEY, "start")
@@ -114,7 +115,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if named is None:
         return lines.where("false").select(*KEY, "pos")
     place = F.struct(F.col("doc_id").isNotNull().alias("i"), "doc_id", "th", "pos")
-    intervals = named.groupBy("length", "a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("length", "a", "b", "first")
+    intervals = stored(named.groupBy("length", "a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("length", "a", "b", "first"), "intervals", n_rows)
     later = named.join(intervals, ["length", "a", "b"]).where(place > F.col("first"))
     return later.select(*KEY, F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos")).distinct()
 
