@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from chalkline.functions import geometry as G
 from chalkline.operators import evaluate as E
 from chalkline.operators import planar as P
+from chalkline.plans import reports
 from chalkline.plans import verdicts as V
 from chalkline.sources import figures, svg
 from chalkline.streaming import stamps
@@ -136,6 +137,24 @@ def verdicts(spark, sf_dir):
     return V.verdicts(_view(spark, sf_dir, LATTICE)).select(D, "status", "v", "e", "pieces", "faces", "chi", "dangles")
 
 
+def verdict_json(spark, sf_dir):
+    back = reports.from_json(reports.to_json(V.verdicts(_view(spark, sf_dir, LATTICE))))
+    return back.select(D, "status", "v", "e", "pieces", "faces", "chi", reports.exit_code(F.col("status")).alias("exit_code"))
+
+
+def scale_sensitivity(spark, sf_dir):
+    """How many gaps of each drawing's spectrum are windows at three ratios."""
+    ratios = spark.createDataFrame([(3.0,), (10.0,), (100.0,)], "rho double")
+    return _line_gaps(spark, sf_dir).join(F.broadcast(ratios), F.col("ratio") >= F.col("rho")).groupBy("rho").agg(F.count("*").alias("windows"), F.count_distinct(D).alias("drawings"))
+
+
+def truth_by_name(spark, sf_dir):
+    """Drawings with the truth that is known of some: what has none keeps nulls, and what has no drawing drops out."""
+    found = P.euler(*_graph(_view(spark, sf_dir, LATTICE))).select(D, "pieces")
+    known = _view(spark, sf_dir, "SELECT s_suppkey AS drawing_id, CAST(1 AS BIGINT) AS truth FROM supplier WHERE s_suppkey % 2 = 0")
+    return found.join(known, D, "left").withColumn("agrees", F.col("pieces") == F.col("truth"))
+
+
 def contested_verdicts(spark, sf_dir):
     """Chords cross nearly everywhere: what is refused, and why. SQL can't say it; the tests hold it against brute force."""
     return V.verdicts(_view(spark, sf_dir, CHORDS)).select(D, "status", "reason", "kind", "pieces", "faces", "n_more", F.size("look_at").alias("n_sites"))
@@ -236,7 +255,7 @@ def stamp_stream(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     exact_vertices, distinct_edges, euler_counts, vertex_edge_spectrum, near_incidences, crossings, subdivided_edges, merge_heights, single_linkage,
-    cluster_stats, scale_gaps, containing_window, verdicts, contested_verdicts, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
+    cluster_stats, scale_gaps, containing_window, verdicts, verdict_json, scale_sensitivity, truth_by_name, contested_verdicts, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
     strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, union_counts, loop_counts, svg_round_trip, skipped_elements, change_stamps, stamp_stream,
 )}
 
@@ -312,6 +331,9 @@ SQL = {
     "verdicts": _EULER + " SELECT drawing_id, 'CERTIFIED' AS status, v, e, pieces, faces, chi, dangles FROM counts",
     "checked_claims": _EULER + f""" SELECT counts.drawing_id, CASE WHEN (c.faces IS NULL OR c.faces = counts.faces) AND c.pieces = counts.pieces THEN 'HELD' ELSE 'BROKEN' END AS verdict,
         CASE WHEN (c.faces IS NULL OR c.faces = counts.faces) AND c.pieces = counts.pieces THEN 0 ELSE 1 END AS exit_code, counts.faces, counts.pieces FROM counts JOIN ({CLAIMS}) c USING (drawing_id)""",
+    "verdict_json": _EULER + " SELECT drawing_id, 'CERTIFIED' AS status, v, e, pieces, faces, chi, 0 AS exit_code FROM counts",
+    "scale_sensitivity": _GAPS + " SELECT rho, count(*) AS windows, count(DISTINCT drawing_id) AS drawings FROM gaps, (VALUES (3.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE)) r(rho) WHERE ratio >= rho GROUP BY 1",
+    "truth_by_name": _EULER + " SELECT counts.drawing_id, pieces, k.truth, pieces = k.truth AS agrees FROM counts LEFT JOIN (SELECT s_suppkey AS drawing_id, CAST(1 AS BIGINT) AS truth FROM supplier WHERE s_suppkey % 2 = 0) k ON counts.drawing_id = k.drawing_id",
     "refusal_histogram": "SELECT kind, reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6)::DOUBLE AS percent FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'budget' ELSE 'geometry' END AS kind, event_type AS reason FROM events) x GROUP BY ROLLUP (kind, reason)",
     "latency_quantiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
         SELECT event_type, count(*) AS n, median(value) AS median, max(CASE WHEN k = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) THEN value END) AS p95, max(value) AS largest FROM r GROUP BY 1""",

@@ -128,7 +128,7 @@ def _judged(segments: DataFrame, es: DataFrame, tried: DataFrame, placed: DataFr
     ]
     pick = lambda i, typed: F.coalesce(*[F.when(s[1], F.lit(s[0]) if i == 0 else s[i].cast(typed)) for s in steps])
     outcome = out.withColumns({"reason": pick(0, "string"), "look_at": pick(2, f"array<{SITE}>"), "sites": pick(3, "bigint")})
-    outcome = outcome.withColumn("n_dup_edges", F.col("m") - F.col("n_edges") + F.col("parts") - F.col("n_final"))
+    outcome = outcome.withColumn("n_subdivided", F.coalesce("n_subdivided", F.lit(0))).withColumn("n_dup_edges", F.col("m") - F.col("n_edges") + F.col("parts") - F.col("n_final"))
     return outcome, points, final
 
 
