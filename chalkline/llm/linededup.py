@@ -33,13 +33,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("w"))
 
 
-def _islands(lines: DataFrame, min_words: int) -> DataFrame:
+def _islands(lines: DataFrame, n_lines: int, min_words: int) -> DataFrame:
     """Lines of every stretch of repeated lines that has enough words: (doc_id, th, start, pos, h1, h2, w, before, total).
 
     Only repeated lines can be in a repeated run. before: words of the stretch before the line.
     """
     # Written before it is joined: a join of two plain exchanges is one that adaptive execution can split at a hot line.
-    often = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "often", lines.count() // 2)
+    often = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "often", n_lines // 2)
     in_doc = Window.partitionBy(*KEY).orderBy("pos")
     shared = lines.join(often, ["h1", "h2"]).withColumn("start", F.col("pos") - F.row_number().over(in_doc))
     stretch = Window.partitionBy(*KEY, "start")
@@ -96,20 +96,21 @@ def _doubled(ranks: DataFrame, k: int, n_rows: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, pos): every line that lies in a later copy of a run of at least min_words words. th: hash of the text."""
     lines = stored(_lines(docs).distinct(), "lines")
-    rows = stored(_islands(lines, min_words), "islands")
-    runs = stored(_runs(rows, min_words), "runs")
+    n_lines = lines.count()
+    rows = stored(_islands(lines, n_lines, min_words), "islands", n_lines)
     n_rows = rows.count()
+    runs = stored(_runs(rows, min_words), "runs", 2 * n_rows)
     longest = runs.agg(F.max("length")).first()[0] or 0
-    ranks = stored(_first_ranks(rows).select(*KEY, "pos", "r"), "ranks")
+    ranks = stored(_first_ranks(rows).select(*KEY, "pos", "r"), "ranks", n_rows)
     named, k = None, 1
     while k <= longest:
         mine = runs.where((F.col("length") >= k) & (F.col("length") < 2 * k))
         head = mine.join(ranks.withColumnRenamed("r", "a"), [*KEY, "pos"])
         tail = ranks.select(*KEY, (F.col("pos") + k).alias("end"), F.col("r").alias("b"))
-        part = stored(head.join(tail, [*KEY, "end"]).select(*KEY, "pos", "end", "length", "a", "b"), "intervals")
+        part = stored(head.join(tail, [*KEY, "end"]).select(*KEY, "pos", "end", "length", "a", "b"), "intervals", 2 * n_rows)
         named = part if named is None else named.unionByName(part)
         if 2 * k <= longest:
-            old, ranks = ranks, stored(_doubled(ranks, k, n_rows), "ranks")
+            old, ranks = ranks, stored(_doubled(ranks, k, n_rows), "ranks", n_rows)
             dropped(old)
         k *= 2
     if named is None:

@@ -228,7 +228,7 @@ def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     documents, or null if there are none. Repeated ids and rows are kept, one result row for each input row.
     """
     prints = stored(fingerprints(docs, k), "prints")
-    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps", prints.count())
     found = components(covering_links(reps, [F.col("fp")], radius, "fp", radius))
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -270,7 +270,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, key_
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     rows = stored(texts.mapInArrow(lambda it: _sketched(it, k, n_keys), "doc_id long, keys array<long>, sketch binary"), "sketches")
-    reps = stored(rows.groupBy("sketch", "keys").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = stored(rows.groupBy("sketch", "keys").agg(F.min("doc_id").alias("rep")), "reps", rows.count())
     links = stored(covering_links(reps, [F.col("keys")[i] for i in range(n_keys)], key_radius, "sketch", sketch_bits(similarity, -3), doubtful=sketch_bits(similarity, 3)), "links")
     doubtful = links.where("not sure").select("a", "b")
     asked = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
