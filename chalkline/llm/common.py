@@ -34,16 +34,28 @@ def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._chalkline_path = path
+    _PATHS.add(path)
     return out
 
 
+_PATHS: set[str] = set()  # what stored() has written and nobody has deleted
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes what stored() has written; no frame may depend on it any more."""
-    path = getattr(df, "_chalkline_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    """Deletes what stored() has written for df; no frame may depend on it any more."""
+    _PATHS.discard(df._chalkline_path)
+    _delete(df.sparkSession, df._chalkline_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that stored() has written in this process: for a caller that has written its results elsewhere."""
+    while _PATHS:
+        _delete(spark, _PATHS.pop())
 
 
 def fold(id_col: Column, modulus: int) -> Column:
