@@ -51,25 +51,23 @@ def test_refusals_name_the_place(spark):
 
 
 def test_neighbours_merge_below_a_tenth(spark):
-    near, far = _judge(spark, {"near": figures.box() + figures.box(10 + 1.0)})["near"], _judge(spark, {"far": figures.box() + figures.box(10 + 1.01)})["far"]
+    got = _judge(spark, {"near": figures.box() + figures.box(10 + 1.0), "far": figures.box() + figures.box(10 + 1.01)})
+    near, far = got["near"], got["far"]
     assert (near.pieces, near.faces, near.n_merged) == (1, 2, 2) and (far.pieces, far.faces, far.n_merged) == (2, 2, 0)
 
 
 def test_a_given_grid_is_a_window_of_its_own(spark):
-    drawing = {"x": figures.box() + figures.box(10 + 2.2e-6)}
-    assert _judge(spark, drawing)["x"].n_merged == 2
-    got = _judge(spark, drawing, grid=1e-8)["x"]
-    assert (got.pieces, got.faces, got.grid_source, got.radius) == (2, 2, "user", 1e-8)
-    for grid in (1e-15, 1e6):
-        assert _judge(spark, drawing, grid=grid)["x"].reason == "NO_STABLE_SCALE"
-    short = figures.box() + [(5, 5, 5.0001, 5)]
-    got = _judge(spark, {"s": short}, grid=0.01)["s"]
-    assert got.reason == "EDGE_COLLAPSED" and got.look_at[0].length == pytest.approx(1e-4)
+    drawing = {"x": figures.box() + figures.box(10 + 2.2e-6), "s": figures.box() + [(5, 5, 5.0001, 5)]}
+    got = _judge(spark, drawing, grid=1e-8)
+    assert (got["x"].pieces, got["x"].faces, got["x"].grid_source, got["x"].radius) == (2, 2, "user", 1e-8)
+    got = _judge(spark, drawing, grid=0.01)
+    assert got["x"].n_merged == 2 and got["s"].reason == "EDGE_COLLAPSED" and got["s"].look_at[0].length == pytest.approx(1e-4)
+    assert {r.reason for r in _judge(spark, drawing, grid=1e6).values()} == {"NO_STABLE_SCALE"}
 
 
 def test_jitter_is_exact_or_refused(spark, families):
     gaps = {r.drawing_id: r.gap for r in P.smallest_gap(*_graph(figures.table(spark, {k: s for k, (s, _) in families.items()}))).collect()}
-    draws = {f"{k}|{ratio}|{seed}": figures.jittered(families[k][0], gaps[k], ratio, hash((k, ratio, seed)) % 2**32 if False else sum(map(ord, k)) * 31 + round(-math.log10(ratio)) * 7 + seed) for k in families if k in gaps for ratio in (1e-7, 1e-3) for seed in (0, 1)}
+    draws = {f"{k}|{ratio}|{seed}": figures.jittered(families[k][0], gaps[k], ratio, sum(map(ord, k)) * 31 + round(-math.log10(ratio)) * 7 + seed) for k in families if k in gaps for ratio in (1e-7, 1e-3) for seed in (0, 1)}
     got = _judge(spark, draws)
     exact = 0
     for name, r in got.items():
