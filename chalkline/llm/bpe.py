@@ -23,7 +23,7 @@ from .common import BATCH
 
 LEAF_BITS = 8  # 256 ranks for each leaf of the bitmap
 LEAF_MASK = (1 << LEAF_BITS) - 1
-CACHED_BYTES, CACHED_PIECES = 48, 200_000  # of each of two generations in a worker; other pieces are encoded anew, with the same result
+CACHED_BYTES, CACHED_PIECES = 48, 400_000  # of each of two generations in a worker; other pieces are encoded anew, with the same result
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,77 +42,72 @@ class Vocabulary:
         return cls(ranks, hashlib.sha256(b"".join(b"%s %d\n" % x for x in ranks.items())).hexdigest())
 
 
-class RankQueue:
-    """Positions by rank; the least rank first, and among its positions the leftmost."""
-
-    def __init__(self) -> None:
-        self.top = 0  # a bit for each leaf that isn't empty
-        self.leaves: dict[int, int] = {}  # a bit for each rank that has positions
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> LEAF_BITS
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
-        self.top |= 1 << leaf
-
-    def pop(self) -> tuple[int, int]:
-        leaf = (self.top & -self.top).bit_length() - 1
-        bits = self.leaves[leaf]
-        low = bits & -bits
-        rank = (leaf << LEAF_BITS) + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket) if len(bucket) > 1 else bucket.pop()
-        if not bucket:
-            self.leaves[leaf] = bits = bits ^ low
-            if not bits:
-                self.top ^= 1 << leaf
-        return rank, position
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece: always the pair of the least rank is merged, the leftmost of these first."""
+    """The ids of one piece: always the pair of the least rank is merged, the leftmost of these first.
+
+    The queue is kept in local names, since most pieces are short: buckets has the positions of each rank, leaves a bit
+    for each rank that has any, top a bit for each leaf that isn't empty.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, rank_of = len(piece), ranks.get
     token: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    wanted = [-1] * n  # the rank of the pair that starts here
-    queue, rank_of = RankQueue(), ranks.get
-    push, pop = queue.push, queue.pop
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
+    wanted: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # the rank of the pair that starts here
+    wanted.append(None)
+    top, leaves, buckets = 0, {}, {}
+    leaf_of, bucket_of = leaves.get, buckets.get
+    for i, rank in enumerate(wanted):
         if rank is not None:
-            wanted[i] = rank
-            push(rank, i)
-    while queue.top:
-        rank, i = pop()
+            bucket = bucket_of(rank)
+            if bucket:
+                bucket.append(i)  # positions come in order, which is a heap
+            else:
+                buckets[rank] = [i]
+                leaf = rank >> LEAF_BITS
+                leaves[leaf] = leaf_of(leaf, 0) | 1 << (rank & LEAF_MASK)
+                top |= 1 << leaf
+    while top:
+        leaf = (top & -top).bit_length() - 1  # find first set
+        bits = leaves[leaf]
+        low = bits & -bits
+        rank = (leaf << LEAF_BITS) + low.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket.pop()
+            leaves[leaf] = bits = bits ^ low
+            if not bits:
+                top ^= 1 << leaf
         if wanted[i] != rank:
             continue  # stale
         gone = after[i]
         merged = token[i] = token[i] + token[gone]
-        token[gone], wanted[gone] = None, -1
+        token[gone] = wanted[gone] = None
         after[i] = right = after[gone]
         left = before[i]
-        if left >= 0:
-            rank = rank_of(token[left] + merged)
-            if rank is None:
-                wanted[left] = -1
-            else:
-                wanted[left] = rank
-                push(rank, left)
-        wanted[i] = -1
         if right < n:
             before[right] = i
-            rank = rank_of(merged + token[right])
-            if rank is not None:
-                wanted[i] = rank
-                push(rank, i)
+            found = wanted[i] = rank_of(merged + token[right])
+        else:
+            found = wanted[i] = None
+        at = i
+        while True:
+            if found is not None:
+                bucket = bucket_of(found)
+                if bucket:
+                    heappush(bucket, at)
+                else:
+                    buckets[found] = [at]
+                    leaf = found >> LEAF_BITS
+                    leaves[leaf] = leaf_of(leaf, 0) | 1 << (found & LEAF_MASK)
+                    top |= 1 << leaf
+            if at == left or left < 0:
+                break
+            at = left
+            found = wanted[left] = rank_of(token[left] + merged)
     return [ranks[t] for t in token if t is not None]
 
 
