@@ -151,17 +151,27 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, *, folds: int = 4, held_out:
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isin(languages)).join(F.broadcast(picked), "doc_id")
     sent = spark.sparkContext.broadcast(idf)
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[[has_letter(t) for t in pdf["text"]]].sort_values("doc_id")
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as their vectors, so that what the fit gathers doesn't grow with the length of texts."""
         model = Model(languages, sent.value, np.zeros(0), 1.0)
-        x, y = [model.vector(t) for t in pdf["text"]], np.array([languages.index(v) for v in pdf["lang"]], np.int64)
+        for batch in batches:
+            kept = batch.filter(pa.array([has_letter(t.as_py()) for t in batch.column(3)], pa.bool_()))
+            both = [model.vector(t.as_py()) for t in kept.column(3)]
+            packed = [pa.array([v[i].astype(kind).tobytes() for v in both], pa.binary()) for i, kind in enumerate(("<i4", "<f8"))]
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], *packed], ["doc_id", "lang", "part", "at", "x"])
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        x = [(np.frombuffer(at, "<i4"), np.frombuffer(v, "<f8")) for at, v in zip(pdf["at"], pdf["x"], strict=True)]
+        y = np.array([languages.index(v) for v in pdf["lang"]], np.int64)
         held = pdf["part"].to_numpy() == 0
         own = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
         w = train([x[i] for i in own], y[own], len(languages))
         logits = np.array([v @ w[at] + w[-1] for (at, v), h in zip(x, held, strict=True) if h]).reshape(-1, len(languages))
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "t": [temperature(logits, y[held]) if len(logits) else 1.0]})
 
-    found = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FIT_PARTS)).cast("int")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(task, "weights binary, t double").first()
+    parted = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FIT_PARTS)).cast("int")).select("doc_id", "lang", "part", "text")
+    found = parted.mapInArrow(featured, "doc_id long, lang string, part int, at binary, x binary").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(task, "weights binary, t double").first()
     if not found:
         return Model([], idf, np.zeros((SIZE + 1, 0)), 1.0)
     return Model(languages, idf, np.frombuffer(found.weights, "<f4").reshape(SIZE + 1, -1).astype(np.float64), found.t)

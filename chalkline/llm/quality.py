@@ -126,8 +126,15 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their features, so that what the fit gathers doesn't grow with the length of texts."""
+    for batch in batches:
+        found = [indicators(t.as_py()).astype("<i4").tobytes() for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["doc_id", "y", "part", "features"])
+
+
 def _fit_rows(pdf: pd.DataFrame) -> tuple[np.ndarray, tuple[float, float]]:
-    rows = [indicators(t) for t in pdf["text"]]
+    rows = [np.frombuffer(x, "<i4") for x in pdf["features"]]
     y, own = pdf["y"].to_numpy(), pdf["part"].to_numpy() != 0
     if len(set(y[own])) < 2:
         one = float(y.mean()) if len(y) else 0.0
@@ -156,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         weights, (a, b) = _fit_rows(pdf.sort_values("doc_id"))
         return pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "a": [a], "b": [b]})
 
+    rows = rows.select(F.col("doc_id").cast("long"), "y", "part", "text").mapInArrow(_featured, "doc_id long, y int, part int, features binary")
     found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(task, "weights binary, a double, b double").first()
     return Model(np.frombuffer(found.weights, "<f4").astype(np.float64), (found.a, found.b)) if found else Model(np.zeros(SIZE), (1.0, -20.0))
 
