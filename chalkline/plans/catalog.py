@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from chalkline.functions import geometry as G
 from chalkline.operators import evaluate as E
+from chalkline.operators import graph
 from chalkline.operators import planar as P
 from chalkline.plans import reports
 from chalkline.plans import verdicts as V
@@ -20,7 +21,7 @@ from chalkline.streaming import stamps
 
 D = P.D
 FLAGSHIP = "verdicts"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
 def _walls(long: bool) -> str:
@@ -44,7 +45,14 @@ CHORDS = """
 POINTS = """
         SELECT user_id AS drawing_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_id) - 1 AS INT) AS v, x, CAST(0 AS DOUBLE) AS y
         FROM (SELECT user_id, value AS x, min(event_id) AS first_id FROM events WHERE value IS NOT NULL GROUP BY user_id, value) p"""
-RHO, RADIUS, NEAR = G.RHO, 0.5, 1.5
+POLYLINES = """
+        SELECT user_id AS drawing_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS seg_ix, x1, y1, x2, y2,
+            concat('line#', row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS element
+        FROM (SELECT user_id, event_id, CAST(event_id % 37 AS DOUBLE) AS x1, value AS y1, CAST(lead(event_id) OVER o % 37 AS DOUBLE) AS x2, lead(value) OVER o AS y2 FROM events WHERE value IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) e
+        WHERE x2 IS NOT NULL"""
+PLANE = "SELECT label AS drawing_id, CAST(vec_id AS INT) AS v, CAST(element_at(embedding, 1) AS DOUBLE) AS x, CAST(element_at(embedding, 2) AS DOUBLE) AS y FROM embeddings"
+PLANE_SQL = PLANE.replace("element_at", "list_extract")  # DuckDB's name for it
+RHO, RADIUS, NEAR, CLOSE, SHORT = G.RHO, 0.5, 1.5, 0.02, 20.0
 
 
 def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -211,6 +219,57 @@ def smallest_gap(spark, sf_dir):
     return P.smallest_gap(*_graph(_view(spark, sf_dir, CHORDS))).select(D, F.round("gap", 9).alias("gap"))
 
 
+def degree_histogram(spark, sf_dir):
+    vs, es = _graph(_view(spark, sf_dir, LATTICE))
+    return es.where("a <> b").select(D, F.explode(F.array("a", "b")).alias("v")).groupBy(D, "v").count().groupBy(F.col("count").alias("degree")).agg(F.count("*").alias("vertices"))
+
+
+def collapsed_edges(spark, sf_dir):
+    """Segments whose ends a grid of SHORT merges: shorter than that, or joined through others."""
+    vs, es = _graph(_view(spark, sf_dir, CHORDS))
+    asked = vs.select(D).distinct().withColumns({"lo": F.lit(SHORT), "hi": F.lit(10 * SHORT)})
+    labels = P.clustered(P.minimum_trees(vs), asked, vs.groupBy(D).agg(F.count("*").alias("n")))
+    side = lambda n: labels.select(D, F.col("v").alias(n), F.col("label").alias(f"l{n}"))
+    dead = es.join(side("a"), [D, "a"]).join(side("b"), [D, "b"]).where("la = lb")
+    length = P.with_ends(dead, vs).withColumn("length", F.round(G.dist(*map(F.col, ("ax", "ay", "bx", "by"))), 9))
+    return length.where(F.col("length") <= SHORT).select(D, "seg_ix", "element", "length")
+
+
+def plane_linkage(spark, sf_dir):
+    """Single linkage of points in the plane: the members of a cluster by its smallest vector."""
+    points = _view(spark, sf_dir, PLANE)
+    numbered = points.withColumn("i", (F.row_number().over(Window.partitionBy(D).orderBy("v")) - 1).cast("int"))
+    vs = numbered.select(D, F.col("i").alias("v"), "x", "y")
+    asked = vs.select(D).distinct().withColumns({"lo": F.lit(CLOSE), "hi": F.lit(1.0)})
+    found = P.clustered(P.minimum_trees(vs), asked, vs.groupBy(D).agg(F.count("*").alias("n")))
+    named = found.join(numbered.select(D, F.col("v").alias("vec_id"), F.col("i").alias("v")), [D, "v"])
+    return named.withColumn("root", F.min("vec_id").over(Window.partitionBy(D, "label"))).select(D, "vec_id", "root")
+
+
+def nearest_pairs(spark, sf_dir):
+    """The three closest pairs of points of each drawing."""
+    p = _view(spark, sf_dir, PLANE)
+    q = p.select(D, F.col("v").alias("w"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    apart = p.join(q, D).where("v < w").withColumn("d", F.round(G.dist(*map(F.col, ("x", "y", "x2", "y2"))), 9))
+    first = Window.partitionBy(D).orderBy("d", "v", "w")
+    return apart.withColumn("place", F.row_number().over(first)).where("place <= 3").select(D, "place", "v", "w", "d")
+
+
+def polyline_crossings(spark, sf_dir):
+    vs, es = _graph(_view(spark, sf_dir, POLYLINES))
+    met = P.crossings(P.with_ends(es.withColumn("e", F.col("seg_ix")), vs))
+    return met.groupBy(D).agg(F.count("*").alias("crossings"))
+
+
+PARTS = "SELECT DISTINCT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem"
+
+
+def part_supplier_euler(spark, sf_dir):
+    """One graph that no drawing bounds: parts and the suppliers they came from."""
+    edges = _view(spark, sf_dir, PARTS)
+    return graph.euler_of(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), edges)
+
+
 def union_counts(spark, sf_dir):
     lattice = _view(spark, sf_dir, LATTICE)
     return P.euler(*_graph(figures.shifted_union(lattice, lattice))).drop("dangles")
@@ -256,7 +315,7 @@ def stamp_stream(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     exact_vertices, distinct_edges, euler_counts, vertex_edge_spectrum, near_incidences, crossings, subdivided_edges, merge_heights, single_linkage,
     cluster_stats, scale_gaps, containing_window, verdicts, verdict_json, scale_sensitivity, truth_by_name, contested_verdicts, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
-    strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, union_counts, loop_counts, svg_round_trip, skipped_elements, change_stamps, stamp_stream,
+    strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, degree_histogram, collapsed_edges, plane_linkage, nearest_pairs, polyline_crossings, part_supplier_euler, union_counts, loop_counts, svg_round_trip, skipped_elements, change_stamps, stamp_stream,
 )}
 
 
@@ -345,6 +404,20 @@ SQL = {
     "rounded_faces": _EULER + " SELECT drawing_id, faces FROM counts",
     "walked_faces": _EULER + " SELECT drawing_id, faces FROM counts WHERE faces > 0",
     "raster_holes": _EULER + " SELECT drawing_id, faces AS holes FROM counts",
+    "degree_histogram": _EULER + " SELECT degree, count(*) AS vertices FROM (SELECT drawing_id, u, count(*) AS degree FROM hop GROUP BY 1, 2) x GROUP BY 1",
+    "collapsed_edges": _vertices_sql(CHORDS) + f" SELECT drawing_id, seg_ix, element, round(sqrt((b_x-ax)*(b_x-ax) + (b_y-ay)*(b_y-ay)), 9) AS length FROM (SELECT *, bx AS b_x FROM ee) x WHERE sqrt((b_x-ax)*(b_x-ax) + (b_y-ay)*(b_y-ay)) <= {SHORT}",
+    "plane_linkage": f"""WITH RECURSIVE p AS ({PLANE_SQL}), h AS (SELECT p.drawing_id, p.v AS a, q.v AS b FROM p JOIN p q ON p.drawing_id = q.drawing_id AND p.v <> q.v AND sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)) <= {CLOSE}),
+        reach(drawing_id, v, root) AS (SELECT drawing_id, v, v FROM p UNION SELECT h.drawing_id, h.b, reach.root FROM reach JOIN h ON h.drawing_id = reach.drawing_id AND h.a = reach.v AND reach.root < h.b)
+        SELECT drawing_id, v AS vec_id, min(root) AS root FROM reach GROUP BY 1, 2""",
+    "nearest_pairs": f"""WITH p AS ({PLANE_SQL}), d AS (SELECT p.drawing_id, p.v, q.v AS w, round(sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)), 9) AS d FROM p JOIN p q ON p.drawing_id = q.drawing_id AND p.v < q.v),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY d, v, w) AS INTEGER) AS place FROM d) SELECT drawing_id, place, v, w, d FROM r WHERE place <= 3""",
+    "polyline_crossings": _vertices_sql(POLYLINES) + """ SELECT p.drawing_id, count(*) AS crossings FROM (SELECT *, bx AS ex, b_y AS ey FROM ee) p JOIN (SELECT drawing_id, seg_ix, a, b, ax AS cx, ay AS cy, bx AS dx, b_y AS dy FROM ee) q
+        ON p.drawing_id = q.drawing_id AND p.seg_ix < q.seg_ix AND p.a NOT IN (q.a, q.b) AND p.b NOT IN (q.a, q.b)
+        WHERE (((ex-ax)*(cy-ay) - (ey-ay)*(cx-ax)) > 0) <> (((ex-ax)*(dy-ay) - (ey-ay)*(dx-ax)) > 0) AND (((dx-cx)*(ay-cy) - (dy-cy)*(ax-cx)) > 0) <> (((dx-cx)*(ey-cy) - (dy-cy)*(ex-cx)) > 0) GROUP BY 1""",
+    "part_supplier_euler": f"""WITH RECURSIVE e AS ({PARTS}), hop AS (SELECT a AS u, b AS w FROM e UNION ALL SELECT b, a FROM e),
+        lab(v, r) USING KEY (v) AS (SELECT u, u FROM (SELECT DISTINCT u FROM hop) n UNION SELECT hop.w, min(lab.r) FROM lab JOIN hop ON hop.u = lab.v JOIN recurring.lab c ON c.v = hop.w WHERE lab.r < c.r GROUP BY hop.w),
+        n AS (SELECT count(*) AS v, count(DISTINCT r) AS pieces FROM lab), m AS (SELECT count(*) AS e FROM e), d AS (SELECT count(*) AS dangles FROM (SELECT u FROM hop GROUP BY u HAVING count(*) = 1) x)
+        SELECT v, e, pieces, e - v + pieces AS faces, v - e AS chi, dangles FROM n, m, d""",
     "smallest_gap": _vertices_sql(CHORDS) + _DISTANCES + """, apart AS (SELECT p.drawing_id, sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)) AS d FROM vs p JOIN vs q ON p.drawing_id = q.drawing_id AND p.v < q.v UNION ALL SELECT drawing_id, d FROM dd)
         SELECT drawing_id, round(min(d), 9) AS gap FROM apart WHERE d > 0 GROUP BY 1""",
     "union_counts": _EULER + " SELECT drawing_id, 2 * v AS v, 2 * e AS e, 2 * pieces AS pieces, 2 * faces AS faces, 2 * chi AS chi FROM counts",
