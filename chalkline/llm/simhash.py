@@ -25,7 +25,8 @@ from .graph import components
 
 SEED = 42
 BLOCK = 1024
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
+MARGIN = 1.0  # deviations of a sketch's distance
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -138,21 +139,8 @@ def _close(block: np.ndarray, radius: int):
     return lambda i, others: np.bitwise_count(block[others] ^ block[i]).sum(axis=1, dtype=np.int64) <= radius
 
 
-def _doubtful(block: np.ndarray, pairs: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Pairs within the radius that the links of a forest don't join already."""
-    root = np.arange(len(block))
-    for i, j in pairs:  # a forest lists a node's links before those of what it links to
-        root[j] = root[i]
-    out = []
-    for i in range(len(block) - 1):
-        others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        if len(others):
-            out += [(i, j) for j in others[_close(block, radius)(i, others)].tolist()]
-    return out
-
-
-def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, wide: bool, doubtful: int | None) -> Iterator[pa.RecordBatch]:
-    """(a, b, sure): links within each run of rows that share (table, key, i, j); the rows come sorted by these."""
+def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): links within each run of rows that share (table, key, i, j); the rows come sorted by these."""
 
     def split(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         group = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
@@ -167,18 +155,14 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, wide: bool, dou
         cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
         first, size = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(rep)]]))
         two = first[size == 2]
-        apart = np.bitwise_count(block[two] ^ block[two + 1]).sum(axis=1, dtype=np.int64)
-        near = apart <= (radius if doubtful is None else doubtful)
-        a, b, sure = [rep[two[near]]], [rep[two[near] + 1]], [apart[near] <= radius]
+        two = two[np.bitwise_count(block[two] ^ block[two + 1]).sum(axis=1, dtype=np.int64) <= radius]
+        a, b = [rep[two]], [rep[two + 1]]
         for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            pairs = _forest(n, _close(block[s : s + n], radius))
-            more = [] if doubtful is None else _doubtful(block[s : s + n], pairs, doubtful)
-            if pairs or more:
-                x = np.array(pairs + more)
+            if pairs := _forest(n, _close(block[s : s + n], radius)):
+                x = np.array(pairs)
                 a.append(rep[s + x[:, 0]])
                 b.append(rep[s + x[:, 1]])
-                sure.append(np.arange(len(x)) < len(pairs))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, sure)], ["a", "b", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     held = None
     for batch in batches:
@@ -196,12 +180,11 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, wide: bool, dou
         yield links(*held)
 
 
-def covering_links(rows: DataFrame, keys: list[Column], key_radius: int, compare: str, radius: int, block: int = BLOCK, doubtful: int | None = None) -> DataFrame:
-    """Links (a, b, sure) between the reps of rows(rep long, compare long or binary, ...).
+def covering_links(rows: DataFrame, keys: list[Column], key_radius: int, compare: str, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the reps of rows(rep long, compare long or binary, ...).
 
     rows: one row for each distinct fingerprint. Rows meet where one of the keys agrees under a covering mask of
-    key_radius, and link where compare differs in at most radius bits. With doubtful, pairs up to so many bits are listed
-    too, as not sure, unless sure links of their block join them already.
+    key_radius, and link where compare differs in at most radius bits.
     """
     tables = F.array(*[F.struct(F.lit(t * 1000 + i).alias("table"), k.bitwiseAND(F.lit(m)).alias("key")) for t, k in enumerate(keys) for i, m in enumerate(masks(key_radius))])
     dealt = rows.where(F.col("rep").isNotNull()).select("rep", F.explode(tables).alias("t"), *[compare] * (dict(rows.dtypes)[compare] == "bigint")).select("t.*", "rep", *[compare] * (dict(rows.dtypes)[compare] == "bigint"))
@@ -216,8 +199,7 @@ def covering_links(rows: DataFrame, keys: list[Column], key_radius: int, compare
         paired = paired.join(rows.select("rep", compare), "rep")
     run = ["table", "key", "i", "j"]
     sorted_rows = paired.select(*run, "rep", compare).repartition(*run).sortWithinPartitions(*run)
-    found = sorted_rows.mapInArrow(lambda it: _link_blocks(it, radius, wide, doubtful), "a long, b long, sure boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
+    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, radius, wide), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
@@ -241,43 +223,19 @@ def sketch_bits(similarity: float, spread_: float = 0.0) -> int:
     return round(n * p + spread_ * (n * p * (1 - p)) ** 0.5)
 
 
-def _shared_enough(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (a, b, text of a, text of b) whose sets of shingles have the similarity."""
-    for batch in batches:
-        kept, known = [], {}
-        for row in range(batch.num_rows):
-            sets = []
-            for at in (0, 1):
-                key = batch.column(at)[row].as_py()
-                if key not in known:
-                    if len(known) > 500:
-                        known.clear()
-                    known[key] = np.unique(shingle_hashes(words_of(batch.column(at + 2)[row].as_py()), k))
-                sets.append(known[key])
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            kept.append(both >= similarity * (len(sets[0]) + len(sets[1]) - both))
-        yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
-
-
-def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, key_radius: int = 4, n_keys: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, key_radius: int = 4, n_keys: int = 2) -> DataFrame:
     """(doc_id, component_id, n_rows): documents whose sets of k-word shingles have this Jaccard similarity, or more, link.
 
     At a similarity of 0.8 the 64-bit fingerprints of shingles differ in some 10 bits, more than covering masks can
     afford. So rows meet by covering masks over n_keys fingerprints of single words, repeats included, in which a few
-    changed words flip few bits; a 512-bit SimHash sketch of the shingles tells the pairs. Within three deviations below
-    what the similarity would give a pair is sure; up to three above, its texts are compared. One row for each doc_id,
-    with the number of its rows. Null ids have no row; wordless texts are one group.
+    changed words flip few bits; what links them is the Hamming distance of a SimHash sketch of the shingles, at most
+    MARGIN deviations above what sets of this similarity have on average. One row for each doc_id, with the number of its
+    rows. Null ids have no row; wordless texts are one group.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    rows = stored(texts.mapInArrow(lambda it: _sketched(it, k, n_keys), "doc_id long, keys array<long>, sketch binary"), "sketches")
+    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(lambda it: _sketched(it, k, n_keys), "doc_id long, keys array<long>, sketch binary"), "sketches")
     reps = stored(rows.groupBy("sketch", "keys").agg(F.min("doc_id").alias("rep")), "reps", rows.count())
-    links = stored(covering_links(reps, [F.col("keys")[i] for i in range(n_keys)], key_radius, "sketch", sketch_bits(similarity, -3), doubtful=sketch_bits(similarity, 3)), "links")
-    doubtful = links.where("not sure").select("a", "b")
-    asked = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    said = stored(texts.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    pairs = doubtful.join(said.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(said.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    verified = pairs.select("a", "b", "ta", "tb").mapInArrow(lambda it: _shared_enough(it, k, similarity), "a long, b long")
-    found = components(links.where("sure").select("a", "b").union(verified))
+    links = covering_links(reps, [F.col("keys")[i] for i in range(n_keys)], key_radius, "sketch", sketch_bits(similarity, MARGIN))
+    found = components(links)
     named = reps.join(found, reps.rep == found.node, "left").select("sketch", "keys", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(named, ["sketch", "keys"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows"))
 
