@@ -7,6 +7,9 @@ fingerprints that differ there agree under the mask. With 2^(r+1) - 1 tables no
 
 Inside a bucket pairs are compared in blocks of bounded size, and a block returns a spanning forest of its links, never
 all its pairs. A bucket of any size is dealt as pairs of blocks, so none lands in one task and none is cut.
+
+similar_documents() finds sets of shingles by their Jaccard similarity instead: banded min-hashes bring sets together
+wherever their texts differ, and the sets themselves decide what links.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from .graph import components
 
 SEED = 42
 BLOCK = 1024
-SKETCH_WORDS = 16
-MARGIN = 1.0  # deviations of a sketch's distance
+BANDS, BAND_ROWS = 30, 5  # sets of similarity 0.8 share no band with a chance of (1 - 0.8 ** 5) ** 30 = 7e-6
+SLACK = 5.0  # deviations by which the share of equal min-hashes may fall short of the similarity before the sets are compared
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -48,15 +52,6 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.fromiter((hashed(joined[i:j], SEED) for i, j in zip(first, last, strict=True)), np.uint64, len(first))
 
 
-def spread(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """n further 64-bit hashes of each hash."""
-    x = h[:, None] ^ ((np.arange(1 + salt, n + 1 + salt, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
-
-
 def majority(h: np.ndarray) -> np.ndarray:
     """One 64-bit word for each column of h: a bit is set if it is set in over half the rows."""
     if h.ndim == 1:
@@ -84,21 +79,40 @@ def _plain(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], k: int, keys: int) -> Iterator[pa.RecordBatch]:
-    hashed = xxhash.xxh64_intdigest
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The hashes of the text's shingles of k words, each once, in order."""
+    return np.unique(shingle_hashes(words_of(text), k))
+
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """For each factor the least product with a shingle's upper half: two sets agree in one with the chance of their Jaccard similarity."""
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 1024):
+        np.minimum(out, (_FACTORS[:, None] * x[None, i : i + 1024]).min(axis=1), out=out)
+    return out
+
+
+def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, same, keys, signature): equal sets have the same `same`; a set without shingles has no keys."""
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
-            part, out = batch.slice(start, BATCH), []
+            part, same, keys, signature = batch.slice(start, BATCH), [], [], []
             for t in part.column(1):
-                words = words_of(t.as_py())
-                if not words:
-                    out.append(([0] * keys, bytes(8 * SKETCH_WORDS)))
-                    continue
-                single = np.fromiter((hashed(w, SEED) for w in words), np.uint64, len(words))
-                key = majority(spread(single, keys, 64))
-                sketch = majority(spread(shingle_hashes(words, k), SKETCH_WORDS))
-                out.append((key.view(np.int64).tolist(), sketch.astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], pa.binary())], ["doc_id", "keys", "sketch"])
+                own = shingle_set(t.as_py(), k)
+                least = min_hashes(own)
+                same.append(xxhash.xxh3_128_digest(own.tobytes()))
+                bands = least.reshape(BANDS, BAND_ROWS) if len(own) else least[:0].reshape(0, BAND_ROWS)
+                keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in bands], np.uint64).view(np.int64).tolist())
+                signature.append((least & 0xFF).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["doc_id", "same", "keys", "signature"])
+
+
+def _as_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(key, rep, shingles) of rows (key, rep, text)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH):
+            part = batch.slice(start, BATCH)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(2)], pa.binary())], ["key", "rep", "shingles"])
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -135,30 +149,56 @@ def _forest(n: int, close) -> list[tuple[int, int]]:
 
 
 def _close(block: np.ndarray, radius: int):
-    """block: one row of 64-bit words for each fingerprint."""
-    return lambda i, others: np.bitwise_count(block[others] ^ block[i]).sum(axis=1, dtype=np.int64) <= radius
+    """block: a 64-bit word for each fingerprint."""
+    return lambda i, others: np.bitwise_count(block[others] ^ block[i]) <= radius
+
+
+def _alike(block: np.ndarray, similarity: float):
+    """block: signatures of min-hashes; close are those whose share of equal ones is within SLACK of the similarity."""
+    rows = np.frombuffer(b"".join(block.tolist()), np.uint8).reshape(len(block), -1)
+    least = rows.shape[1] * similarity - SLACK * (rows.shape[1] * similarity * (1 - similarity)) ** 0.5
+    return lambda i, others: (rows[others] == rows[i]).sum(axis=1) >= least
+
 
+def _shared_enough(block: np.ndarray, similarity: float):
+    """block: sets of shingles; close are those that have the Jaccard similarity."""
+    size = np.array([len(x) // 8 for x in block], np.int64)
+    _, name = np.unique(np.frombuffer(b"".join(block.tolist()), np.uint64), return_inverse=True)
+    first, mark = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(name) + 1, bool)
 
-def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b): links within each run of rows that share (table, key, i, j); the rows come sorted by these."""
+    def close(i: int, others: np.ndarray) -> np.ndarray:
+        mark[own := name[first[i] : first[i + 1]]] = True
+        fit = np.flatnonzero(np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]))
+        both = np.zeros(len(others), np.int64)
+        both[fit] = [np.count_nonzero(mark[name[first[j] : first[j + 1]]]) for j in others[fit].tolist()]
+        mark[own] = False
+        return both >= similarity * (size[others] + size[i] - both)
+
+    return close
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch], close_of, bound) -> Iterator[pa.RecordBatch]:
+    """(a, b): links within each run of rows that share (table, key, i, j); the rows come sorted by these.
+
+    close_of(block, bound) gives what _forest() asks, for a run's array of fingerprints or of bytes.
+    """
 
     def split(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         group = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
         rep = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
-        if wide:
-            block = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(len(rep), -1)
-        else:
-            block = batch.column(5).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
-        return group, rep, block
+        block = batch.column(5).to_numpy(zero_copy_only=False)
+        return group, rep, block if block.dtype == object else block.astype(np.int64).view(np.uint64)
 
     def links(group: np.ndarray, rep: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
         first, size = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(rep)]]))
-        two = first[size == 2]
-        two = two[np.bitwise_count(block[two] ^ block[two + 1]).sum(axis=1, dtype=np.int64) <= radius]
+        plain = block.dtype != object
+        two = first[size == 2] if plain else first[:0]
+        two = two[_close(block, bound)(two, two + 1)] if len(two) else two
         a, b = [rep[two]], [rep[two + 1]]
-        for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if pairs := _forest(n, _close(block[s : s + n], radius)):
+        more = size > (2 if plain else 1)
+        for s, n in zip(first[more].tolist(), size[more].tolist(), strict=True):
+            if pairs := _forest(n, close_of(block[s : s + n], bound)):
                 x = np.array(pairs)
                 a.append(rep[s + x[:, 0]])
                 b.append(rep[s + x[:, 1]])
@@ -181,25 +221,40 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], radius: int, wide: bool) ->
 
 
 def covering_links(rows: DataFrame, keys: list[Column], key_radius: int, compare: str, radius: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the reps of rows(rep long, compare long or binary, ...).
+    """Links (a, b) between the reps of rows(rep long, compare long, ...).
 
     rows: one row for each distinct fingerprint. Rows meet where one of the keys agrees under a covering mask of
     key_radius, and link where compare differs in at most radius bits.
     """
     tables = F.array(*[F.struct(F.lit(t * 1000 + i).alias("table"), k.bitwiseAND(F.lit(m)).alias("key")) for t, k in enumerate(keys) for i, m in enumerate(masks(key_radius))])
-    dealt = rows.where(F.col("rep").isNotNull()).select("rep", F.explode(tables).alias("t"), *[compare] * (dict(rows.dtypes)[compare] == "bigint")).select("t.*", "rep", *[compare] * (dict(rows.dtypes)[compare] == "bigint"))
+    dealt = rows.where(F.col("rep").isNotNull()).select("rep", F.explode(tables).alias("t"), compare).select("t.*", "rep", compare)
     bucket = Window.partitionBy("table", "key")
     shared = dealt.withColumn("n", F.count("*").over(bucket)).where("n > 1").withColumn("at", F.row_number().over(bucket.orderBy("rep")) - 1)
     own = F.floor(F.col("at") / block).cast("int")
     last = F.ceil(F.col("n") / block).cast("int") - 1
     others = F.when(last == 0, F.array(own)).otherwise(F.array_except(F.sequence(F.lit(0), last), F.array(own)))
     paired = shared.withColumn("own", own).withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    wide = compare not in dealt.columns
-    if wide:
-        paired = paired.join(rows.select("rep", compare), "rep")
     run = ["table", "key", "i", "j"]
     sorted_rows = paired.select(*run, "rep", compare).repartition(*run).sortWithinPartitions(*run)
-    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, radius, wide), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, _close, radius), "a long, b long").distinct()
+
+
+def bucket_links(members: DataFrame, rows: DataFrame, compare: str, close_of, bound: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members(table int, key long, rep long) that share a bucket, by what rows(table, key, rep, compare)
+    or rows(rep, compare) say of them.
+
+    The sizes of buckets are aggregated and written before they are joined, and rows are dealt into blocks by their hash,
+    so that a bucket of any size can be split.
+    """
+    sizes = stored(members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = members.join(sizes, ["table", "key"])
+    last = F.ceil(F.col("n") / block).cast("int") - 1
+    own = F.pmod(F.xxhash64("rep", F.lit(block)), last + 1).cast("int")
+    others = F.when(last == 0, F.array(own)).otherwise(F.array_except(F.sequence(F.lit(0), last), F.array(own)))
+    paired = shared.withColumn("own", own).withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    run = ["table", "key", "i", "j"]
+    sorted_rows = paired.join(rows, [c for c in ("table", "key", "rep") if c in rows.columns]).select(*run, "rep", compare).repartition(*run).sortWithinPartitions(*run)
+    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, close_of, bound), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
@@ -216,28 +271,26 @@ def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch_bits(similarity: float, spread_: float = 0.0) -> int:
-    """Differing bits of two sketches of sets of one size with this Jaccard similarity: the mean, and so many deviations more."""
-    n = 64 * SKETCH_WORDS
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(n * p + spread_ * (n * p * (1 - p)) ** 0.5)
-
-
-def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, key_radius: int = 4, n_keys: int = 2) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id, n_rows): documents whose sets of k-word shingles have this Jaccard similarity, or more, link.
 
-    At a similarity of 0.8 the 64-bit fingerprints of shingles differ in some 10 bits, more than covering masks can
-    afford. So rows meet by covering masks over n_keys fingerprints of single words, repeats included, in which a few
-    changed words flip few bits; what links them is the Hamming distance of a SimHash sketch of the shingles, at most
-    MARGIN deviations above what sets of this similarity have on average. One row for each doc_id, with the number of its
-    rows. Null ids have no row; wordless texts are one group.
+    Equal sets are one. Sets meet where one of BANDS runs of BAND_ROWS min-hashes agrees, which depends on nothing but
+    their similarity: not on where the texts differ, nor on how often a text repeats a shingle. Sets that meet and whose
+    min-hashes are alike enough form groups, with some slack; inside each group the sets themselves are compared, in
+    blocks, and only those of the similarity link. One row for each doc_id, with the number of its rows. Null ids have no
+    row; texts without a word are one group.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(lambda it: _sketched(it, k, n_keys), "doc_id long, keys array<long>, sketch binary"), "sketches")
-    reps = stored(rows.groupBy("sketch", "keys").agg(F.min("doc_id").alias("rep")), "reps", rows.count())
-    links = covering_links(reps, [F.col("keys")[i] for i in range(n_keys)], key_radius, "sketch", sketch_bits(similarity, MARGIN))
-    found = components(links)
-    named = reps.join(found, reps.rep == found.node, "left").select("sketch", "keys", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, ["sketch", "keys"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    rows = stored(texts.mapInArrow(lambda it: _signed(it, k), "doc_id long, same binary, keys array<long>, signature binary"), "signed")
+    reps = stored(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "reps")
+    bands = reps.select("rep", F.posexplode("keys").alias("table", "key")).select("table", "key", "rep").distinct()
+    groups = stored(components(bucket_links(bands, reps.select("rep", "signature").distinct(), "signature", _alike, similarity, block)), "groups")
+    members = groups.select(F.lit(0).alias("table"), F.col("component").alias("key"), F.col("node").alias("rep"))
+    asked = members.select("key", "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "text")
+    sets = stored(asked.mapInArrow(lambda it: _as_sets(it, k), "key long, rep long, shingles binary").distinct(), "sets")
+    found = components(bucket_links(members, sets.select("rep", "shingles"), "shingles", _shared_enough, similarity, block))
+    named = reps.join(found, reps.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return rows.select("doc_id", "same").join(named, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows"))
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:

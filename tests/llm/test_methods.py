@@ -107,6 +107,35 @@ def test_similar_documents_follow_jaccard(spark):
         assert got[a] == got[b] if j >= 0.85 else j >= 0.7 or got[a] != got[b], (a, b, j)
 
 
+def _near_copies(kind, draw, words, fresh, share):
+    """A copy of words whose change lies in one place, or everywhere."""
+    n = int(len(words) * share)
+    if kind == "appended":
+        return words + fresh(n)
+    if kind == "cut":
+        return words[: len(words) - n]
+    if kind == "replaced":
+        at = draw.randrange(len(words) - n)
+        return words[:at] + fresh(n // 2) + words[at + n // 2 :]
+    return [fresh(1)[0] if draw.random() < share / 9 else w for w in words]
+
+
+def test_similar_documents_are_the_brute_force_components(spark):
+    draw, common = random.Random(5), [f"c{i}" for i in range(300)]
+    fresh = lambda n: [draw.choice(common) if draw.random() < 0.5 else f"w{draw.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for kind in ("appended", "cut", "replaced", "scattered") * 25:
+        words = fresh(draw.randrange(80, 600))
+        texts += [words, _near_copies(kind, draw, words, fresh, draw.uniform(0.15, 0.23))]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    jaccard = {(a, b): len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for a, b in combinations(range(len(texts)), 2)}
+    linked = [p for p, j in jaccard.items() if j >= 0.8]
+    assert len([p for p in linked if jaccard[p] < 0.88]) > 40 and any(0.7 < j < 0.8 for j in jaccard.values())
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    want = _groups(range(len(texts)), linked)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
