@@ -136,6 +136,18 @@ def test_similar_documents_are_the_brute_force_components(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
 
 
+def test_repeats_neither_join_nor_part_documents(spark):
+    draw = random.Random(6)
+    texts = []
+    for _ in range(10):
+        texts += [[f"w{draw.randrange(10**6)}" for _ in range(80)] + ["same"] * 100 for _ in range(2)]
+        texts += [[f"w{draw.randrange(10**6)}" for _ in range(80)] + ["one", "two", "three"] * 50 for _ in range(2)]
+        words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+        texts += [words, words[:20] * 15 + words]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: i - (i % 6 == 5) for i in range(60)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
