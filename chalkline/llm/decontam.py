@@ -4,8 +4,9 @@ Words are hashed into features; a passage is a run of WINDOW words, and its TF-I
 the whole corpus. A distributed randomised SVD of the benchmark's passages gives a latent space: each task multiplies its
 passages with the current basis and back, so that only features times rank numbers leave it. (An SVD of the corpus' own
 passages was tried: its leading directions are common words, and 94 of 100 unrelated passages had a cosine above 0.8 with
-some item. The benchmark's passages span what has to be found.) Benchmarks of any size are taken in groups of GROUP items,
-each with its own space, so that the rank stays near the number of items.
+some item. The benchmark's passages span what has to be found.) An item of more than two windows is cut into passages of a
+window, so that a window of a copy is like one of them however long the item is. Benchmarks of any size are taken in groups
+of GROUP such passages, each with its own space, whose rank is their number: no direction of any passage is left out.
 
 Every overlapping passage of every document is projected into the space; passages with a cosine of at least CANDIDATE to an
 item are candidates. What confirms one: the longest common subsequence of the item and the words around the passage covers
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 BITS = 16
 SIZE = 1 << BITS
 WINDOW, STRIDE = 32, 16  # words; a window is two strides
-CHUNK = 1 << 15  # words projected at a time, a multiple of STRIDE
-GROUP, RANK, POWERS = 256, 192, 2
+CHUNK = 1 << 12  # words projected at a time, a multiple of STRIDE
+GROUP, POWERS = 256, 2  # passages of the benchmark with one space
 CANDIDATE, EXACT, PARAPHRASE, ANSWER = 0.3, 0.6, 0.5, 0.8
 _CUT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -43,6 +44,13 @@ def features_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) >> (32 - BITS)
 
 
+def passages_of(words: list[bytes]) -> list[list[bytes]]:
+    """What of an item is searched for: the item, or its runs of WINDOW words, the last of which ends with it."""
+    if len(words) <= 2 * WINDOW:
+        return [words]
+    return [words[i : i + WINDOW] for i in [*range(0, len(words) - WINDOW, WINDOW), len(words) - WINDOW]]
+
+
 def answer_of(text: str | None) -> list[bytes]:
     """The words of an item's answer: of its last sentence that has any, if the benchmark names no answer."""
     return next((w for s in reversed(_SENTENCE.split(text or "")) if (w := words_of(s))), [])
@@ -66,23 +74,23 @@ class Space:
 
     items: list[tuple[int, list[bytes], list[bytes]]]  # id, words, words of the answer
     idf: np.ndarray
-    row: np.ndarray  # by feature: its row of basis; features outside the items share the last one, which is zero
-    basis: np.ndarray  # idf times the latent direction of a feature
-    latent: np.ndarray  # by item, of unit length
+    row: np.ndarray  # by feature: its row of weight; features outside the items share the last one, which is zero
+    weight: np.ndarray  # by feature and passage: idf times the product of their latent directions, a passage's of unit length
+    item: np.ndarray  # by passage: the place of its item
 
     def candidates(self, feature: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(item, first word, cosine) of the passages of a text."""
         for start in range(0, max(1, len(feature) - STRIDE), CHUNK):
             part = feature[start : start + CHUNK + STRIDE]
             lacking = -len(part) % STRIDE  # the last block is filled up with features that weigh nothing
-            row = np.concatenate([self.row[part], np.full(lacking, len(self.basis) - 1)])
-            block = self.basis[row].reshape(-1, STRIDE, self.basis.shape[1]).sum(axis=1)
-            weight = np.concatenate([np.square(self.idf[part]), np.zeros(lacking, np.float32)]).reshape(-1, STRIDE).sum(axis=1)
+            row = np.concatenate([self.row[part], np.full(lacking, len(self.weight) - 1)])
+            block = self.weight[row].reshape(-1, STRIDE, self.weight.shape[1]).sum(axis=1)
+            norm = np.concatenate([np.square(self.idf[part]), np.zeros(lacking, np.float32)]).reshape(-1, STRIDE).sum(axis=1)
             if len(block) > 1:
-                block, weight = block[:-1] + block[1:], weight[:-1] + weight[1:]
-            score = (block @ self.latent.T) / np.sqrt(np.maximum(weight, 1e-12))[:, None]
+                block, norm = block[:-1] + block[1:], norm[:-1] + norm[1:]
+            score = block / np.sqrt(np.maximum(norm, 1e-12))[:, None]
             for w, i in np.argwhere(score >= CANDIDATE).tolist():
-                yield i, start + w * STRIDE, float(score[w, i])
+                yield int(self.item[i]), start + w * STRIDE, float(score[w, i])
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """(item_id, cosine, share of the subsequence, answer found) of every confirmed item, at its best place."""
@@ -125,7 +133,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((texts + 2) / (found + 1))
 
 
-def randomised_svd(passages: DataFrame, idf, columns: np.ndarray, rank: int = RANK, powers: int = POWERS) -> np.ndarray:
+def randomised_svd(passages: DataFrame, idf, columns: np.ndarray, rank: int, powers: int = POWERS) -> np.ndarray:
     """The leading right singular vectors, by column, of the TF-IDF matrix of passages(text).
 
     columns: the features that have a column. Each round is a pass in which every task returns its part of A'(AQ), which
@@ -160,14 +168,15 @@ def randomised_svd(passages: DataFrame, idf, columns: np.ndarray, rank: int = RA
 
 
 def _space(items: list, passages: DataFrame, idf: np.ndarray) -> Space:
-    feature = [features_of(words) for _, words, _ in items]
-    columns = np.unique(np.concatenate(feature))
-    basis = randomised_svd(passages, idf, columns)
+    cut = [(i, features_of(x)) for i, (_, words, _) in enumerate(items) for x in passages_of(words)]
+    columns = np.unique(np.concatenate([x for _, x in cut]))
+    basis = randomised_svd(passages, idf, columns, len(cut))
     row = np.full(SIZE, len(columns))
     row[columns] = np.arange(len(columns))
-    basis = np.vstack([basis * idf[columns][:, None], np.zeros(basis.shape[1])]).astype(np.float32)
-    latent = np.array([basis[row[x]].sum(axis=0) for x in feature])
-    return Space(items, idf.astype(np.float32), row, basis, (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+    basis = np.vstack([basis * idf[columns][:, None], np.zeros(basis.shape[1])])
+    latent = np.array([basis[row[x]].sum(axis=0) for _, x in cut])
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    return Space(items, idf.astype(np.float32), row, (basis @ latent.T).astype(np.float32), np.array([i for i, _ in cut]))
 
 
 def _match(batches: Iterator[pa.RecordBatch], space) -> Iterator[pa.RecordBatch]:
@@ -181,19 +190,22 @@ def _spaces(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """The broadcast space of each group of items."""
     spark, answer = docs.sparkSession, "answer" in benchmark.columns
     asked = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text", *["answer"] * answer)
-    idf, group = None, []
+    idf, group, held = None, [], 0
 
     def space(rows: list) -> Space:
         items = [(r.item_id, words_of(r.text), words_of(r.answer) if answer and r.answer else answer_of(r.text)) for r in rows]
-        return spark.sparkContext.broadcast(_space(items, spark.createDataFrame([(r.text,) for r in rows], "text string"), idf))
+        cut = [(b" ".join(x).decode("utf-8", "replace"),) for _, words, _ in items for x in passages_of(words)]
+        return spark.sparkContext.broadcast(_space(items, spark.createDataFrame(cut, "text string"), idf))
 
     for r in asked.orderBy("item_id").toLocalIterator():
-        if words_of(r.text):
-            idf = inverse_frequencies(docs) if idf is None else idf
-            group.append(r)
-        if len(group) == GROUP:
+        if not (n := len(passages_of(words)) if (words := words_of(r.text)) else 0):
+            continue
+        idf = inverse_frequencies(docs) if idf is None else idf
+        if group and held + n > GROUP:
             yield space(group)
-            group = []
+            group, held = [], 0
+        group.append(r)
+        held += n
     if group:
         yield space(group)
 

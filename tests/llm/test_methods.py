@@ -221,6 +221,16 @@ def test_planted_items_are_found_and_no_others(spark, docs):
     assert len(found & want) >= 0.95 * len(want)
 
 
+def test_short_items_of_a_full_group_are_found_verbatim(spark):
+    draw = random.Random(7)
+    say = lambda n: " ".join(f"w{int(20000 * draw.random() ** 3)}" for _ in range(n))
+    bench = [(i, say(15 if i % 4 == 0 else 60)) for i in range(256)]
+    docs = [(i, f"{say(200)} {text} {say(200)}") for i, text in bench]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.select("doc_id", "item_id").collect()}
+    assert {(i, i) for i in range(256)} <= got
+
+
 def test_svd_spans_the_leading_directions(spark):
     texts = [(" ".join(f"t{i % 7}w{(i * j) % 11}" for j in range(1, 30)),) for i in range(60)]
     rows = [decontam.features_of(decontam.words_of(t)) for (t,) in texts]
