@@ -231,6 +231,20 @@ def test_short_items_of_a_full_group_are_found_verbatim(spark):
     assert {(i, i) for i in range(256)} <= got
 
 
+@pytest.mark.parametrize(("n", "replaced"), [(800, 0.0), (400, 0.2), (300, 0.3), (65, 0.3)])
+def test_long_items_are_found(spark, n, replaced):
+    draw = random.Random(n)
+    say = lambda n: [f"w{int(20000 * draw.random() ** 3)}" for _ in range(n)]
+    bench = [(i, say(n)) for i in range(20)]
+    docs = []
+    for i, x in bench:
+        new = set(draw.sample(range(n), int(replaced * n)))
+        docs.append((i, " ".join(say(300) + [say(1)[0] if k in new else w for k, w in enumerate(x)] + say(300))))
+    items = spark.createDataFrame([(i, " ".join(x)) for i, x in bench], "item_id long, text string")
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert {(r.doc_id, r.item_id) for r in found.select("doc_id", "item_id").collect()} == {(i, i) for i in range(20)}
+
+
 def test_svd_spans_the_leading_directions(spark):
     texts = [(" ".join(f"t{i % 7}w{(i * j) % 11}" for j in range(1, 30)),) for i in range(60)]
     rows = [decontam.features_of(decontam.words_of(t)) for (t,) in texts]
