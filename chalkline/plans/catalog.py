@@ -207,7 +207,7 @@ def rounded_faces(spark, sf_dir):
 
 
 def raster_holes(spark, sf_dir):
-    return E.raster_holes(_view(spark, sf_dir, LATTICE), 256)
+    return E.raster_holes(_view(spark, sf_dir, LATTICE), 512)
 
 
 def walked_faces(spark, sf_dir):
