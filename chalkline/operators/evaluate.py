@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chalkline.operators import planar as P
+from chalkline.plans.scratch import stored
 
 D = P.D
 
@@ -23,12 +24,37 @@ def histogram(rows: DataFrame, levels: list[str], total: int | None = None) -> D
     return rows.rollup(*levels).agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / F.lit(max(n, 1)), 6))
 
 
+def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """rows with _k: the place of each from 0 in its group, in order.
+
+    Rows are sorted over the cluster in ranges, numbered within each, and each range's numbers go on where those before it
+    end: no group is a single task.
+    """
+    by = by or []
+    ranged = stored(rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    skip = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_m")).withColumn("_skip", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    skip = skip.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), "_skip")
+    inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)) - 1)
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return inside.join(skip, same).select(*rows.columns, (F.col("_k") + F.col("_skip")).alias("_k"))
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, n, median, p95, largest): p95 is the value at index min(n - 1, floor(0.95 n)) in order, no interpolation."""
-    held = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.row_number().over(held.orderBy(value)) - 1).alias("_k"), F.count("*").over(held).alias("_n"))
-    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.median("_v").alias("median"), F.max(F.when(F.col("_k") == at, F.col("_v"))).alias("p95"), F.max("_v").alias("largest"))
+    """(by, n, median, p95, smallest, largest): p95 is the value at index min(n - 1, floor(0.95 n)) in order, no interpolation."""
+    held = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    sizes = held.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("smallest"), F.max("_v").alias("largest"))
+    sizes = sizes.select(*[F.col(c).alias(f"_own{i}") for i, c in enumerate(by)], "n", "smallest", "largest")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_own{i}"))
+    k, n = F.col("_k"), F.col("n")
+    low, high, at = F.floor((n - 1) / 2), F.floor(n / 2), F.least(n - 1, F.floor(n * 0.95))
+    met = numbered(held, ["_v"], by).join(sizes, same).where((k == low) | (k == high) | (k == at))
+    median = (F.max(F.when(k == low, F.col("_v"))) + F.max(F.when(k == high, F.col("_v")))) / 2
+    return met.groupBy(*by, "n", "smallest", "largest").agg(median.alias("median"), F.max(F.when(k == at, F.col("_v"))).alias("p95")).select(*by, "n", "median", "p95", "smallest", "largest")
 
 
 def growth(rows: DataFrame, by: list[str], size: Column, cost: Column, at: float) -> DataFrame:
@@ -38,9 +64,12 @@ def growth(rows: DataFrame, by: list[str], size: Column, cost: Column, at: float
     return fit.select(*by, "exponent", F.exp(F.col("_i") + F.col("exponent") * F.ln(F.lit(at))).alias("estimate"))
 
 
-def every(rows: DataFrame, step: int, order: list[str]) -> DataFrame:
-    """Every step-th row in order, the first included."""
-    return rows.withColumn("_k", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_k") % step == 0).drop("_k")
+def every(rows: DataFrame, step: int, order: list[str], limit: int | None = None) -> DataFrame:
+    """Every step-th row in order, the first included; at most limit of them."""
+    taken = F.col("_k") % step == 0
+    if limit is not None:
+        taken &= F.col("_k") < step * limit
+    return numbered(rows, order).where(taken).drop("_k")
 
 
 def rounded_faces(segments: DataFrame, digits: int = 6) -> DataFrame:

@@ -6,6 +6,8 @@ the same with longer walls, chords between lattice points for each customer, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,7 @@ from chalkline.operators import graph
 from chalkline.operators import planar as P
 from chalkline.plans import reports
 from chalkline.plans import verdicts as V
+from chalkline.plans.scratch import shared_dir, stored
 from chalkline.sources import figures, svg
 from chalkline.streaming import stamps
 
@@ -100,7 +103,8 @@ def crossings(spark, sf_dir):
 def subdivided_edges(spark, sf_dir):
     vs, es = _graph(_view(spark, sf_dir, LONG))
     es = es.withColumn("e", F.col("seg_ix"))
-    on = P.vertex_edge(P.with_ends(es, vs), vs, within=F.lit(1e-9)).where("d = 0")
+    # Written before it is filtered: else the distance, spelled out, becomes part of the join's condition.
+    on = stored(P.vertex_edge(P.with_ends(es, vs), vs, within=F.lit(1e-9)), "near").where("d = 0")
     return P.subdivided(es, on).select(D, "a", "b", "element", "parts")
 
 
@@ -302,14 +306,23 @@ def change_stamps(spark, sf_dir):
 
 
 def stamp_stream(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The stream into Parquet files, with its state, like its progress, in the folder that the cluster shares."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    source.createOrReplaceTempView("events_stream")
-    found = stamps.stream(spark.sql(EVENTS.replace("FROM events", "FROM events_stream")))
-    run = found.writeStream.format("memory").queryName("chalkline_stamps").outputMode("append").trigger(availableNow=True).start()
+    name = f"events_{uuid.uuid4().hex}"
+    source.createOrReplaceTempView(name)
+    top = f"{shared_dir(spark)}/stamps-{uuid.uuid4().hex}"
+    provider, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, own)  # read when the stream starts
+    try:
+        found = stamps.stream(spark.sql(EVENTS.replace("FROM events", f"FROM {name}")))
+        run = found.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(provider, before)
     run.awaitTermination()
-    return spark.table("chalkline_stamps")
+    spark.catalog.dropTempView(name)
+    return spark.read.schema(stamps.OUT).parquet(f"{top}/out")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -395,7 +408,7 @@ SQL = {
     "truth_by_name": _EULER + " SELECT counts.drawing_id, pieces, k.truth, pieces = k.truth AS agrees FROM counts LEFT JOIN (SELECT s_suppkey AS drawing_id, CAST(1 AS BIGINT) AS truth FROM supplier WHERE s_suppkey % 2 = 0) k ON counts.drawing_id = k.drawing_id",
     "refusal_histogram": "SELECT kind, reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6)::DOUBLE AS percent FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'budget' ELSE 'geometry' END AS kind, event_type AS reason FROM events) x GROUP BY ROLLUP (kind, reason)",
     "latency_quantiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
-        SELECT event_type, count(*) AS n, median(value) AS median, max(CASE WHEN k = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) THEN value END) AS p95, max(value) AS largest FROM r GROUP BY 1""",
+        SELECT event_type, count(*) AS n, median(value) AS median, max(CASE WHEN k = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) THEN value END) AS p95, min(value) AS smallest, max(value) AS largest FROM r GROUP BY 1""",
     "growth_fit": """SELECT o_orderpriority, round(regr_slope(ln(o_totalprice), ln(o_custkey::DOUBLE)), 6) AS exponent,
         round(exp(regr_intercept(ln(o_totalprice), ln(o_custkey::DOUBLE)) + regr_slope(ln(o_totalprice), ln(o_custkey::DOUBLE)) * ln(100000.0::DOUBLE)), 3) AS estimate FROM orders WHERE o_custkey > 0 AND o_totalprice > 0 GROUP BY 1""",
     "arm_tally": """SELECT l_returnflag AS arm, l_linestatus AS level, count(*) FILTER (l_quantity < 40 AND l_linenumber <> l_partkey % 7 + 1) AS wrong,

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from chalkline.functions import geometry as G
 from chalkline.operators import planar as P
-from chalkline.plans.scratch import stored
+from chalkline.plans.scratch import stored, workspace
 
 D, K = P.D, [P.D, "cand"]
 VERSION = "0.1.0"
@@ -141,7 +141,11 @@ def verdicts(segments: DataFrame, drawings: DataFrame | None = None, *, rho: flo
     drawings(drawing_id) adds drawings without segments, which are refused; a drawing with a coordinate that is no finite
     number is bad input. A refused drawing has null integers, never 0.
     """
-    cap = G.VERTEX_CAP if max_vertices is None else max_vertices
+    with workspace(segments.sparkSession) as own:  # the tables between the steps go when the verdicts are written
+        return own.keep(stored(_verdicts(segments, drawings, rho, cand_max, grid, G.VERTEX_CAP if max_vertices is None else max_vertices, digests), "verdicts"))
+
+
+def _verdicts(segments: DataFrame, drawings: DataFrame | None, rho: float, cand_max: int, grid: float | None, cap: int, digests: bool) -> DataFrame:
     budget = G.pair_budget(cap)
     bad = segments.where(~P.finite(segments)).select(D).distinct()
     good = stored(segments.join(bad, D, "left_anti"), "segments")
@@ -161,10 +165,13 @@ def verdicts(segments: DataFrame, drawings: DataFrame | None = None, *, rho: flo
     rows = outcome.withColumn("n_candidates", F.count("*").over(n_cands)).withColumn("at", F.coalesce(F.min(decided).over(n_cands), F.lit(0))).where("cand = at")
     known = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ANSWER]
     judged = rows.select(D, "cand", "reason", *known, F.when(F.col("reason").isNull(), F.col("n_candidates")).alias("n_candidates"), "look_at", F.greatest(F.col("sites") - G.SITES, F.lit(0)).alias("n_more"))
-    widest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "lo", "hi"))), 1, 3)
-    listed = all_gaps.groupBy(D).agg(F.transform(widest, lambda g: site(xy=F.array(g["lo"], g["hi"]), ratio=-g["r"], failed=F.when(-g["r"] < rho, "ratio below rho").otherwise("cluster above the largest"))).alias("look_at"))
+    without = stored(fit.join(judged.select(D), D, "left_anti").select(D), "without")
+    first = F.row_number().over(Window.partitionBy(D).orderBy(F.desc("ratio"), "lo"))
+    widest = all_gaps.join(without, D).withColumn("place", first).where("place <= 3")
+    gap = F.struct("place", site(xy=F.array("lo", "hi"), ratio=F.col("ratio"), failed=F.when(F.col("ratio") < rho, "ratio below rho").otherwise("cluster above the largest")).alias("s"))
+    listed = widest.groupBy(D).agg(F.transform(F.array_sort(F.collect_list(gap)), lambda g: g["s"]).alias("look_at"))
     lacking = lambda rows_, reason, look: rows_.select(D, F.lit(None).cast("int").alias("cand"), F.lit(reason).alias("reason"), *[F.lit(None).cast(dict(judged.dtypes)[c]).alias(c) for c in [*ANSWER, "n_candidates"]], look.cast(f"array<{SITE}>").alias("look_at"), F.lit(0).cast("bigint").alias("n_more"))
-    unscaled = lacking(fit.join(judged.select(D), D, "left_anti").join(listed, D, "left"), "NO_STABLE_SCALE", F.col("look_at"))
+    unscaled = lacking(without.join(listed, D, "left"), "NO_STABLE_SCALE", F.col("look_at"))
     large = lacking(sizes.where(over), "TOO_MANY_VERTICES", F.array(site(element=F.lit("vertices"), count=F.col("n"))))
     out = judged.union(unscaled).union(large).union(lacking(bad, "BAD_INPUT", F.lit(None)))
     if drawings is not None:

@@ -1,9 +1,9 @@
 """Every registered geometry query against its SQL in DuckDB."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from chalkline.plans import catalog
@@ -20,7 +20,7 @@ def duck():
 
 
 def _rows(frame, columns):
-    clean = lambda v: None if v is None or v != v or (isinstance(v, float) and math.isnan(v)) else v
+    clean = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else v
     return sorted((tuple(map(clean, r)) for r in frame[columns].astype(object).values.tolist()), key=repr)
 
 
