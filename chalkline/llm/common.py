@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chalkline.plans.scratch import dropped, shared_dir, stored, workspace
+
+__all__ = ["BATCH", "dropped", "fold", "labelled", "shared_dir", "stored", "table", "workspace"]
 
 BATCH = 256  # rows that a Python operator returns at a time
 
@@ -16,48 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset (tests), a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("CHALKLINE_SCRATCH", tempfile.mkdtemp(prefix="chalkline-"))
-
-
-ROWS_A_FILE = 250_000
-
-
-def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, and no lineage that a lost executor could break.
-
-    rows: about how many narrow rows df has, if known; so many files are written as these need.
-    """
-    df = df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._chalkline_path = path
-    _PATHS.add(path)
-    return out
-
-
-_PATHS: set[str] = set()  # what stored() has written and nobody has deleted
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what stored() has written for df; no frame may depend on it any more."""
-    _PATHS.discard(df._chalkline_path)
-    _delete(df.sparkSession, df._chalkline_path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Deletes all that stored() has written in this process: for a caller that has written its results elsewhere."""
-    while _PATHS:
-        _delete(spark, _PATHS.pop())
-
-
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the held-out split of the contracts. A null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
@@ -67,10 +26,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, *, f
     """(doc_id, y, text) of a bounded sample of the labelled rows outside the held-out fold.
 
     For each label at most max_rows rows, those whose hashed id is smallest. The sample of ids has at most
-    2 * max_rows rows of two numbers, and so it is broadcast; the texts are not shuffled. Where an id has several
-    labels, the largest counts.
+    2 * max_rows rows of two numbers, and so it is broadcast; only the sample's texts are shuffled, since an id may have any
+    number of rows. Where an id has several labels, the largest counts.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"))
     parts = [ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(max_rows) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
+    met = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
+    first = F.row_number().over(Window.partitionBy("y").orderBy(order, "doc_id", F.xxhash64("text")))
+    return met.withColumn("place", first).where(F.col("place") <= max_rows).drop("place")

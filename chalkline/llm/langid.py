@@ -1,9 +1,9 @@
 """Language identification by sparse multinomial logistic regression over TF-IDF character n-grams.
 
-A text's n-grams of one to three characters, in lower case and within words padded by a space, are hashed; a weight is
-(1 + log count) times the inverse document frequency over all documents, and a text has unit length. The model is trained
-with follow-the-regularised-leader and elastic-net penalties, which leave most weights at zero; a temperature, fitted on
-rows held back from training, calibrates its chances.
+The n-grams of one to three characters of a text in lower case, padded by a space at either end, are hashed; a weight is
+(1 + log count) times the inverse document frequency over all documents outside the held-out fold, and a text has unit
+length. The model is trained with follow-the-regularised-leader and elastic-net penalties, which leave most weights at zero;
+a temperature, fitted on rows held back from training, calibrates its chances.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fold
 
 BITS = 16
 SIZE = 1 << BITS
-MAX_ROWS = 2000  # rows of each language that the model is fitted on
-MAX_LANGUAGES = 500  # the most frequent labels; rarer ones are no classes
+MAX_ROWS, MAX_SAMPLE, LEAST_ROWS = 2000, 40_000, 20  # rows that the model is fitted on: of each language, and in all, but so many of each
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 ROUNDS, FIT_PARTS = 4, 4
 UNKNOWN = "und"
@@ -36,7 +36,7 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(code), CHUNK):
         x = code[i : i + CHUNK + 2].astype(np.uint32)
         for n in (1, 2, 3):
-            if len(x) < n or (i and len(x) <= 2):
+            if len(x) < n:
                 continue
             h = np.full(len(x) - n + 1, 0x811C9DC5 + n, np.uint32)
             for j in range(n):
@@ -94,7 +94,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """FTRL-proximal: per-coordinate steps; L1 keeps a weight at zero until its sum of gradients exceeds it, L2 shrinks it."""
-    z, n = np.zeros((SIZE + 1, n_classes)), np.zeros((SIZE + 1, n_classes))
+    z, n = np.zeros((SIZE + 1, n_classes), np.float32), np.zeros((SIZE + 1, n_classes), np.float32)
 
     def weights(at) -> np.ndarray:
         zz = z[at]
@@ -123,32 +123,34 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, *, folds: int = 4, held_out: int = 2) -> Model:
-    """The model of docs(doc_id, text, lang, ...) outside the held-out fold.
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_sample: int = MAX_SAMPLE, *, folds: int = 4, held_out: int = 2) -> Model:
+    """The model of docs(doc_id, text, lang, ...) outside the held-out fold, of which nothing is read.
 
-    Document frequencies come from all texts. For each of the most frequent languages at most max_rows rows, those whose
-    hashed id is smallest, fit the weights in one task: a bounded sample. Null languages and texts without a letter, and
-    null ids, are no training rows; without any rows the model knows no language and answers `und`.
+    Document frequencies come from all other texts. Every language they name is a class, and the rows of each whose hashed id
+    is smallest fit the weights in one task: max_rows of each, or fewer where max_sample is less than that for all languages,
+    but LEAST_ROWS of each. The task holds half a megabyte for each language. Null languages and texts without a letter, and
+    null ids, are no training rows; rows that repeat an id are training rows each, up to the same number. Without any
+    rows, as in an empty table, the model knows no language and answers `und`.
     """
     spark = docs.sparkSession
+    own = docs.where(fold(F.col("doc_id"), folds) != held_out)
     idf, texts = np.zeros(SIZE), 0
-    for r in docs.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+    for r in own.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         if r["feature"] < 0:
             texts = r["n"]
         else:
             idf[r["feature"]] = r["n"]
     idf = np.log((1 + texts) / (1 + idf)) + 1
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long"), "lang")
-    languages = sorted(r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    known = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not languages:
         return Model([], idf, np.zeros((SIZE + 1, 0)), 1.0)
-    order = F.xxhash64("doc_id")
-    picked = None
-    for lang in languages:
-        part = ids.where(F.col("lang") == lang).orderBy(order, "doc_id").limit(max_rows)
-        picked = part if picked is None else picked.union(part)
-    picked = picked.select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isin(languages)).join(F.broadcast(picked), "doc_id")
+    least = max(LEAST_ROWS, min(max_rows, max_sample // len(languages)))
+    # Ranks are limited within each task before they are shuffled, so that a frequent language is no large task.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th"))
+    picked = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("th")).withColumn("place", first).where(F.col("place") <= least).select("doc_id", "lang", "th").distinct()
+    met = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("th")).join(F.broadcast(picked), ["doc_id", "lang", "th"])
+    rows = met.withColumn("place", first).where(F.col("place") <= least)  # an id may have any number of rows
     sent = spark.sparkContext.broadcast(idf)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, *, folds: int = 4, held_out:
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         x = [(np.frombuffer(at, "<i4"), np.frombuffer(v, "<f8")) for at, v in zip(pdf["at"], pdf["x"], strict=True)]
-        y = np.array([languages.index(v) for v in pdf["lang"]], np.int64)
+        place = {lang: i for i, lang in enumerate(languages)}
+        y = np.array([place[v] for v in pdf["lang"]], np.int64)
         held = pdf["part"].to_numpy() == 0
         own = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
         w = train([x[i] for i in own], y[own], len(languages))
@@ -186,7 +189,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row: the likeliest learned language and its calibrated chance.
 
-    A null text, and one without a letter, is `und` with score 0.
+    A null text, and one without a letter, is `und` with score 0; so is every text under a model without languages. Null
+    ids and repeated rows have a row each; an empty table has none. Ties go to the language that is first by name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _predict(it, sent), "doc_id long, lang_pred string, score double")

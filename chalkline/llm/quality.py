@@ -28,6 +28,7 @@ MAX_ROWS = 3000  # labelled rows of each class that the model is fitted on
 C, ROUNDS = 1.0, 20  # of the hinge loss; passes over the rows
 SHARE = 0.25  # how far the fitted weights move away from the class ratios, as is usual for this model
 FIT_PARTS = 4
+LONG_SHAPE = 12  # marks; a longer shape is told by its kinds of characters and the magnitude of its length
 _SHAPES = ((re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0"))
 
 
@@ -38,7 +39,9 @@ class _Words(dict):
         shape = word
         for pattern, mark in _SHAPES:
             shape = pattern.sub(mark, shape)
-        found = zlib.crc32(word.encode("utf-8", "replace")), zlib.crc32(shape[:12].encode("utf-8", "replace"))
+        if len(shape) > LONG_SHAPE:  # what kinds of characters there are, and about how many
+            shape = f"{''.join(sorted(set(shape)))}{len(shape).bit_length()}"
+        found = zlib.crc32(word.encode("utf-8", "replace")), zlib.crc32(shape.encode("utf-8", "replace"))
         if len(self) > 200_000:
             self.clear()
         if len(word) <= 64:
@@ -175,7 +178,11 @@ def _score(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.Rec
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with quality_score, from 0 to 1, in every row, in place of a column of that name; a null or empty text has a score too."""
+    """docs with quality_score, from 0 to 1, in every row, in place of a column of that name.
+
+    A null or empty text has the score of a text without features. Null ids and repeated rows are scored like others; an
+    empty table stays empty.
+    """
     docs = docs.drop("quality_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
