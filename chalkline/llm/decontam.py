@@ -6,11 +6,14 @@ passages with the current basis and back, so that only features times rank numbe
 passages was tried: its leading directions are common words, and 94 of 100 unrelated passages had a cosine above 0.8 with
 some item. The benchmark's passages span what has to be found.) An item of more than two windows is cut into passages of a
 window, so that a window of a copy is like one of them however long the item is. Benchmarks of any size are taken in groups
-of GROUP such passages, each with its own space, whose rank is their number: no direction of any passage is left out.
-
-Every overlapping passage of every document is projected into the space; passages with a cosine of at least CANDIDATE to an
-item are candidates. What confirms one: the longest common subsequence of the item and the words around the passage covers
-EXACT of the item; or PARAPHRASE of it, and the words around hold most words of the item's answer as well.
+of GROUP such passages, each with its own space. Passages have unit length there, so that short ones weigh as much as long
+ones, and the space keeps the leading directions, as many as it takes for every passage to keep the share KEEP of its length.
+
+Every overlapping window of every document is projected into each space, in one pass over the corpus for SPACES of them;
+windows with a cosine of at least CANDIDATE to a passage are candidates: the product of their places in the space over the
+length of the window's whole vector, scaled so that a passage's own cosine is 1. What confirms a candidate: the longest common subsequence of the item and the
+words around the window covers EXACT of the item; or PARAPHRASE of it, and the words around hold most words of the item's
+answer as well.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SIZE = 1 << BITS
 WINDOW, STRIDE = 32, 16  # words; a window is two strides
 CHUNK = 1 << 12  # words projected at a time, a multiple of STRIDE
 GROUP, POWERS = 256, 2  # passages of the benchmark with one space
+SPACES = 16  # of a pass over the corpus; a space has at most GROUP times a passage's features times GROUP numbers of four bytes
+KEEP = 0.7  # share of its length that every passage keeps in its space
 CANDIDATE, EXACT, PARAPHRASE, ANSWER = 0.3, 0.6, 0.5, 0.8
 _CUT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -73,45 +78,81 @@ class Space:
     """A group of items in a latent space."""
 
     items: list[tuple[int, list[bytes], list[bytes]]]  # id, words, words of the answer
-    idf: np.ndarray
     row: np.ndarray  # by feature: its row of weight; features outside the items share the last one, which is zero
-    weight: np.ndarray  # by feature and passage: idf times the product of their latent directions, a passage's of unit length
+    weight: np.ndarray  # by feature and passage: idf times the product of their latent directions
     item: np.ndarray  # by passage: the place of its item
+    rank: int
 
-    def candidates(self, feature: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(item, first word, cosine) of the passages of a text."""
+    def candidates(self, feature: np.ndarray, norm: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(item, first word, cosine) of the windows of a text; norm: the length of each."""
         for start in range(0, max(1, len(feature) - STRIDE), CHUNK):
             part = feature[start : start + CHUNK + STRIDE]
             lacking = -len(part) % STRIDE  # the last block is filled up with features that weigh nothing
             row = np.concatenate([self.row[part], np.full(lacking, len(self.weight) - 1)])
             block = self.weight[row].reshape(-1, STRIDE, self.weight.shape[1]).sum(axis=1)
-            norm = np.concatenate([np.square(self.idf[part]), np.zeros(lacking, np.float32)]).reshape(-1, STRIDE).sum(axis=1)
             if len(block) > 1:
-                block, norm = block[:-1] + block[1:], norm[:-1] + norm[1:]
-            score = block / np.sqrt(np.maximum(norm, 1e-12))[:, None]
+                block = block[:-1] + block[1:]
+            score = block / norm[start // STRIDE : start // STRIDE + len(block), None]
             for w, i in np.argwhere(score >= CANDIDATE).tolist():
                 yield int(self.item[i]), start + w * STRIDE, float(score[w, i])
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, bool]]:
-        """(item_id, cosine, share of the subsequence, answer found) of every confirmed item, at its best place."""
-        words = words_of(text)
-        if not words:
-            return []
-        best: dict[int, tuple[float, float, bool]] = {}
+    def matches(self, words: list[bytes], feature: np.ndarray, norm: np.ndarray) -> list[tuple[int, float, float, bool]]:
+        """(item_id, cosine, share of the subsequence, answer found) of every confirmed item, at its best place.
+
+        The best place is the confirmed one of the largest cosine, so places are tried from the largest on.
+        """
         places: dict[tuple[int, int], float] = {}
-        for i, at, cosine in self.candidates(features_of(words)):
+        for i, at, cosine in self.candidates(feature, norm):
             places[i, at] = max(cosine, places.get((i, at), 0.0))
-        for (i, at), cosine in places.items():
+        best: dict[int, tuple[float, float, bool]] = {}
+        for (i, at), cosine in sorted(places.items(), key=lambda x: (-x[1], x[0])):
+            if i in best:
+                continue
             _, item, answer = self.items[i]
             around = words[max(0, at - len(item)) : at + WINDOW + len(item)]
-            share = common_subsequence(item, around) / len(item)
             held = set(around)
+            if sum(w in held for w in item) < PARAPHRASE * len(item):
+                continue  # no subsequence can be as long
+            share = common_subsequence(item, around) / len(item)
             found = bool(answer) and sum(w in held for w in answer) >= ANSWER * len(answer)
-            if (share >= EXACT or share >= PARAPHRASE and found) and (cosine, share, found) > best.get(i, (0.0, 0.0, False)):
-                best[i] = (cosine, share, found)
+            if share >= EXACT or share >= PARAPHRASE and found:
+                best[i] = (min(1.0, cosine), share, found)
         return [(self.items[i][0], *x) for i, x in sorted(best.items())]
 
 
+def window_norms(feature: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The length of the TF-IDF vector of each window: a word that a window holds n times counts n squared times."""
+    n = max(1, -(-(len(feature) - STRIDE) // STRIDE))
+    padded = np.full((n + 1) * STRIDE, SIZE, np.int64)
+    padded[: len(feature)] = feature
+    out, weight = np.empty(n), np.append(np.square(idf), 0.0)
+    for s in range(0, n, CHUNK):
+        rows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[s * STRIDE : (min(n, s + CHUNK) - 1) * STRIDE + 1 : STRIDE]
+        rows = np.sort(rows, axis=1)
+        first = np.ones(rows.shape, bool)
+        first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        at = np.flatnonzero(first)
+        times = np.diff(np.append(at, rows.size))
+        out[s : s + len(rows)] = np.bincount(at // WINDOW, times * times * weight[rows.ravel()[at]], minlength=len(rows))
+    return np.sqrt(np.maximum(out, 1e-12))
+
+
+@dataclass
+class Index:
+    """Spaces that one pass over the corpus looks into."""
+
+    idf: np.ndarray
+    spaces: list[Space]
+
+    def matches(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+        words = words_of(text)
+        if not words:
+            return []
+        feature = features_of(words)
+        norm = window_norms(feature, self.idf)
+        return [m for space in self.spaces for m in space.matches(words, feature, norm)]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, texts = np.zeros(SIZE, np.int64), 0
     for batch in batches:
@@ -134,7 +175,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def randomised_svd(passages: DataFrame, idf, columns: np.ndarray, rank: int, powers: int = POWERS) -> np.ndarray:
-    """The leading right singular vectors, by column, of the TF-IDF matrix of passages(text).
+    """The leading right singular vectors, by column, of the TF-IDF matrix of passages(text), whose rows have unit length.
 
     columns: the features that have a column. Each round is a pass in which every task returns its part of A'(AQ), which
     has as many numbers as columns times rank; the parts are added up on the executors, in slices.
@@ -154,8 +195,9 @@ def randomised_svd(passages: DataFrame, idf, columns: np.ndarray, rank: int, pow
                 for t in batch.column(0):
                     x = features_of(words_of(t.as_py()))
                     at, n = np.unique(where[x], return_counts=True)
-                    a = n[at >= 0] * weight[columns[at[at >= 0]]]
-                    at = at[at >= 0]
+                    at, n = at[at >= 0], n[at >= 0]
+                    a = n * weight[columns[at]]
+                    a = a / max(np.sqrt(a @ a), 1e-12)
                     out[at] += a[:, None] * (a @ basis[at])[None, :]
             rows = np.flatnonzero(out.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(list(out[rows]), pa.list_(pa.float64()))], ["at", "v"])
@@ -173,66 +215,81 @@ def _space(items: list, passages: DataFrame, idf: np.ndarray) -> Space:
     basis = randomised_svd(passages, idf, columns, len(cut))
     row = np.full(SIZE, len(columns))
     row[columns] = np.arange(len(columns))
-    basis = np.vstack([basis * idf[columns][:, None], np.zeros(basis.shape[1])])
-    latent = np.array([basis[row[x]].sum(axis=0) for _, x in cut])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Space(items, idf.astype(np.float32), row, (basis @ latent.T).astype(np.float32), np.array([i for i, _ in cut]))
-
-
-def _match(batches: Iterator[pa.RecordBatch], space) -> Iterator[pa.RecordBatch]:
+    own = np.zeros((len(cut), len(columns)))
+    for p, (_, x) in enumerate(cut):
+        np.add.at(own[p], row[x], idf[x])
+    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+    left, value, right = np.linalg.svd(own @ basis, full_matrices=False)  # at most GROUP by GROUP
+    kept = np.sqrt(np.cumsum(np.square(left * value), axis=1)).min(axis=0)  # by rank: the least length that a passage keeps
+    rank = int(min(np.searchsorted(kept, KEEP) + 1, len(value)))
+    basis = basis @ right[:rank].T
+    latent = own @ basis
+    latent /= np.maximum(np.square(latent).sum(axis=1, keepdims=True), 1e-12)  # so that a passage's own vector has cosine 1
+    weight = np.vstack([basis * idf[columns][:, None], np.zeros(rank)]) @ latent.T
+    return Space(items, row.astype(np.int32), weight.astype(np.float32), np.array([i for i, _ in cut]), rank)
+
+
+def _match(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("subsequence", pa.float64()), ("answer_found", pa.bool_())])
     for batch in batches:
-        out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in space.value.matches(t.as_py())]
+        out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in index.value.matches(t.as_py())]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
 
 
-def _spaces(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """The broadcast space of each group of items."""
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes that together hold every item."""
     spark, answer = docs.sparkSession, "answer" in benchmark.columns
     asked = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text", *["answer"] * answer)
-    idf, group, held = None, [], 0
+    idf, spaces, group, held = None, [], [], 0
 
     def space(rows: list) -> Space:
         items = [(r.item_id, words_of(r.text), words_of(r.answer) if answer and r.answer else answer_of(r.text)) for r in rows]
         cut = [(b" ".join(x).decode("utf-8", "replace"),) for _, words, _ in items for x in passages_of(words)]
-        return spark.sparkContext.broadcast(_space(items, spark.createDataFrame(cut, "text string"), idf))
+        return _space(items, spark.createDataFrame(cut, "text string"), idf)
 
     for r in asked.orderBy("item_id").toLocalIterator():
         if not (n := len(passages_of(words)) if (words := words_of(r.text)) else 0):
             continue
         idf = inverse_frequencies(docs) if idf is None else idf
         if group and held + n > GROUP:
-            yield space(group)
+            spaces.append(space(group))
             group, held = [], 0
+            if len(spaces) == SPACES:
+                yield spark.sparkContext.broadcast(Index(idf, spaces))
+                spaces = []
         group.append(r)
         held += n
     if group:
-        yield space(group)
+        yield spark.sparkContext.broadcast(Index(idf, [*spaces, space(group)]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer_found): every item that a document holds, at its best place.
 
     docs(doc_id, text), benchmark(item_id, text, and answer if there is one). Null and wordless texts and items hold and
-    are nothing; an item that repeats an id is an item by itself. An empty benchmark gives no rows. Repeated documents
-    give repeated rows.
+    are nothing; an item that repeats an id is an item by itself. An empty benchmark gives no rows. Null ids and repeated
+    documents give rows like others; other columns are not read. The benchmark passes through the driver item by item, and
+    the corpus is read once for the document frequencies and once for each SPACES * GROUP passages.
     """
     kind = "doc_id long, item_id long, cosine double, subsequence double, answer_found boolean"
     out = docs.sparkSession.createDataFrame([], kind)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    for sent in _spaces(docs, benchmark):
+    for sent in _indexes(docs, benchmark):
         out = out.union(docs.mapInArrow(lambda it, sent=sent: _match(it, sent), kind))
     return out
 
 
-def _clean(batches: Iterator[pa.RecordBatch], space, at: int) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], index, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array([not space.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
+        yield batch.filter(pa.array([not index.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; rows are judged one by one, with null ids as with others."""
+    """docs without those that hold an item; rows are judged one by one, with null ids as with others.
+
+    Null and wordless texts stay, all columns stay as they are, and an empty benchmark leaves docs whole.
+    """
     out, at = docs, docs.columns.index("text")
-    for sent in _spaces(docs, benchmark):
+    for sent in _indexes(docs, benchmark):
         out = out.mapInArrow(lambda it, sent=sent: _clean(it, sent, at), docs.schema)
     return out
