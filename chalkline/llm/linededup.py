@@ -23,13 +23,18 @@ from .common import dropped, stored
 MIN_WORDS = 50
 BINS = 256  # of the second ranks below one first rank
 KEY = ["doc_id", "th"]
+LACKING = -(1 << 63)  # stands for a null doc_id, so that it comes first and meets itself in joins
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _id(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(LACKING)).alias("doc_id")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, h1, h2, w): every line with two hashes and its number of words."""
     line = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), line)
+    rows = docs.where("text is not null").select(_id("doc_id"), F.xxhash64("text").alias("th"), line)
     return rows.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("w"))
 
 
@@ -95,6 +100,11 @@ def _doubled(ranks: DataFrame, k: int, n_rows: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, pos): every line that lies in a later copy of a run of at least min_words words. th: hash of the text."""
+    return _repeated(docs, min_words).withColumn("doc_id", F.nullif("doc_id", F.lit(LACKING)))
+
+
+def _repeated(docs: DataFrame, min_words: int, finish: bool = False) -> DataFrame:
+    """repeated_lines() with LACKING for null ids. finish: go on doubling until no rank changes, which deletes nothing more."""
     lines = stored(_lines(docs).distinct(), "lines")
     n_lines = lines.count()
     rows = stored(_islands(lines, n_lines, min_words), "islands", n_lines)
@@ -102,20 +112,25 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = stored(_runs(rows, min_words), "runs", 2 * n_rows)
     longest = runs.agg(F.max("length")).first()[0] or 0
     ranks = stored(_first_ranks(rows).select(*KEY, "pos", "r"), "ranks", n_rows)
-    named, k = None, 1
-    while k <= longest:
+    named, k, was = None, 1, -1
+    while k <= longest or finish:
         mine = runs.where((F.col("length") >= k) & (F.col("length") < 2 * k))
         head = mine.join(ranks.withColumnRenamed("r", "a"), [*KEY, "pos"])
         tail = ranks.select(*KEY, (F.col("pos") + k).alias("end"), F.col("r").alias("b"))
         part = stored(head.join(tail, [*KEY, "end"]).select(*KEY, "pos", "end", "length", "a", "b"), "intervals", 2 * n_rows)
         named = part if named is None else named.unionByName(part)
-        if 2 * k <= longest:
+        if finish and k > longest:
+            now = ranks.select("r").distinct().count()
+            if now == was:
+                break
+            was = now
+        if 2 * k <= longest or finish:
             old, ranks = ranks, stored(_doubled(ranks, k, n_rows), "ranks", n_rows)
             dropped(old)
         k *= 2
     if named is None:
         return lines.where("false").select(*KEY, "pos")
-    place = F.struct(F.col("doc_id").isNotNull().alias("i"), "doc_id", "th", "pos")
+    place = F.struct(*KEY, "pos")
     intervals = stored(named.groupBy("length", "a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("length", "a", "b", "first"), "intervals", n_rows)
     later = named.join(intervals, ["length", "a", "b"]).where(place > F.col("first"))
     return later.select(*KEY, F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos")).distinct()
@@ -125,15 +140,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with shortened text, and n_lines and n_deleted, in every row.
 
     Runs may overlap and may lie in one document; the first copy, by doc_id (nulls first) and line, stays. Rows that repeat
-    an id and a text are one document and get the same result. A null text stays null, with 0 lines; a text that is all
-    later copies becomes empty. Lines end at line feeds only.
+    an id and a text, null ids too, are one document and get the same result. A null text stays null, with 0 lines; a text
+    that is all later copies becomes empty, an empty one stays so, and an empty table too. Lines end at line feeds only.
+    Columns n_lines and n_deleted are replaced; all others stay, whatever their names.
     """
-    gone = repeated_lines(docs, min_words).groupBy(*KEY).agg(F.collect_set("pos").alias("_gone"))
-    # The rows travel as one struct, so that no column of theirs clashes. A null id and its documents meet too.
-    lacking = F.lit(-(1 << 62))
-    own = docs.select(F.struct(*docs.columns).alias("d")).select("d", F.xxhash64("d.text").alias("th"), F.coalesce(F.col("d.doc_id").cast("long"), lacking).alias("id"))
-    keyed = gone.select(F.coalesce("doc_id", lacking).alias("id"), "th", "_gone")
-    joined = own.join(keyed, ["id", "th"], "left")
+    # A stored table has a known size: while it is small, the plan broadcasts it and moves no text; beyond, it sorts and merges.
+    gone = stored(_repeated(docs, min_words).groupBy(*KEY).agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "id"), "gone")
+    # The rows travel as one struct, so that no column of theirs clashes.
+    own = docs.select(F.struct(*docs.columns).alias("d")).select("d", F.xxhash64("d.text").alias("th"), _id("d.doc_id").alias("id"))
+    joined = own.join(gone, ["id", "th"], "left")
     lines = F.split("d.text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     whole = F.col("_gone").isNull()

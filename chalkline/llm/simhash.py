@@ -93,7 +93,8 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, same, keys, signature): equal sets have the same `same`; a set without shingles has no keys."""
+    """(doc_id, th, same, keys, signature) of rows (doc_id, text, th): equal sets have the same `same`; a set without
+    shingles has no keys."""
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
             part, same, keys, signature = batch.slice(start, BATCH), [], [], []
@@ -104,7 +105,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 bands = least.reshape(BANDS, BAND_ROWS) if len(own) else least[:0].reshape(0, BAND_ROWS)
                 keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in bands], np.uint64).view(np.int64).tolist())
                 signature.append((least & 0xFF).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["doc_id", "same", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["doc_id", "th", "same", "keys", "signature"])
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -220,41 +221,61 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], close_of, bound) -> Iterator
         yield links(*held)
 
 
+def _tables(keys: list[Column], radius: int, level: int) -> Column:
+    """Every key under every mask. A level has masks of its own: those of the first level with the bits in another order."""
+    shuffled = np.random.default_rng(level).permutation(64) if level else np.arange(64)
+
+    def spread(mask: int) -> int:
+        out = sum(1 << int(shuffled[i]) for i in range(64) if mask >> i & 1)
+        return out - (1 << 64) if out >> 63 else out
+
+    return F.array(*[F.struct(F.lit(t * 1000 + i).alias("table"), k.bitwiseAND(F.lit(spread(m))).alias("key")) for t, k in enumerate(keys) for i, m in enumerate(masks(radius))])
+
+
 def covering_links(rows: DataFrame, keys: list[Column], key_radius: int, compare: str, radius: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the reps of rows(rep long, compare long, ...).
 
     rows: one row for each distinct fingerprint. Rows meet where one of the keys agrees under a covering mask of
-    key_radius, and link where compare differs in at most radius bits.
+    key_radius, and link where compare differs in at most radius bits. A bucket of more rows than there are masks times
+    blocks is not compared as it is: its rows meet again inside it, under masks of another order, which cover as well; so
+    a row of a large bucket is copied once for each mask, not once for each block. What is large again is dealt in blocks.
     """
-    tables = F.array(*[F.struct(F.lit(t * 1000 + i).alias("table"), k.bitwiseAND(F.lit(m)).alias("key")) for t, k in enumerate(keys) for i, m in enumerate(masks(key_radius))])
-    dealt = rows.where(F.col("rep").isNotNull()).select("rep", F.explode(tables).alias("t"), compare).select("t.*", "rep", compare)
-    bucket = Window.partitionBy("table", "key")
-    shared = dealt.withColumn("n", F.count("*").over(bucket)).where("n > 1").withColumn("at", F.row_number().over(bucket.orderBy("rep")) - 1)
-    own = F.floor(F.col("at") / block).cast("int")
-    last = F.ceil(F.col("n") / block).cast("int") - 1
-    others = F.when(last == 0, F.array(own)).otherwise(F.array_except(F.sequence(F.lit(0), last), F.array(own)))
-    paired = shared.withColumn("own", own).withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    run = ["table", "key", "i", "j"]
-    sorted_rows = paired.select(*run, "rep", compare).repartition(*run).sortWithinPartitions(*run)
-    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, _close, radius), "a long, b long").distinct()
+    named = rows.where(F.col("rep").isNotNull()).select("rep", compare, *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    own = [F.col(f"_k{i}") for i in range(len(keys))]
+    first = named.select("rep", compare, *own, F.explode(_tables(own, key_radius, 0)).alias("t")).select("t.*", "rep", compare, *own)
+    sizes = stored(first.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    many = len(keys) * len(masks(key_radius)) * block
+    members = first.join(sizes, ["table", "key"])
+    links = _dealt_links(members.where(F.col("n") <= many), "n", rows, compare, _close, radius, block)
+    if sizes.where(F.col("n") > many).limit(1).count():
+        inner = members.where(F.col("n") > many).select(F.col("table").alias("t0"), F.col("key").alias("k0"), "rep", compare, F.explode(_tables(own, key_radius, 1)).alias("t"))
+        again = inner.select((F.col("t0") * 1_000_000 + F.col("t.table")).alias("table"), F.xxhash64("k0", "t.key").alias("key"), "rep", compare)
+        links = links.union(bucket_links(again, rows, compare, _close, radius, block))
+    return links.distinct()
 
 
 def bucket_links(members: DataFrame, rows: DataFrame, compare: str, close_of, bound: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between members(table int, key long, rep long) that share a bucket, by what rows(table, key, rep, compare)
-    or rows(rep, compare) say of them.
+    or rows(rep, compare) say of them; members may have the column compare themselves.
 
     The sizes of buckets are aggregated and written before they are joined, and rows are dealt into blocks by their hash,
     so that a bucket of any size can be split.
     """
     sizes = stored(members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = members.join(sizes, ["table", "key"])
-    last = F.ceil(F.col("n") / block).cast("int") - 1
+    return _dealt_links(members.join(sizes, ["table", "key"]), "n", rows, compare, close_of, bound, block).distinct()
+
+
+def _dealt_links(shared: DataFrame, size: str, rows: DataFrame, compare: str, close_of, bound: float, block: int) -> DataFrame:
+    """bucket_links() of members whose buckets have the sizes in a column; a link may repeat."""
+    last = F.ceil(F.col(size) / block).cast("int") - 1
     own = F.pmod(F.xxhash64("rep", F.lit(block)), last + 1).cast("int")
     others = F.when(last == 0, F.array(own)).otherwise(F.array_except(F.sequence(F.lit(0), last), F.array(own)))
     paired = shared.withColumn("own", own).withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     run = ["table", "key", "i", "j"]
-    sorted_rows = paired.join(rows, [c for c in ("table", "key", "rep") if c in rows.columns]).select(*run, "rep", compare).repartition(*run).sortWithinPartitions(*run)
-    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, close_of, bound), "a long, b long").distinct()
+    if compare not in paired.columns:
+        paired = paired.join(rows, [c for c in ("table", "key", "rep") if c in rows.columns])
+    sorted_rows = paired.select(*run, "rep", compare).repartition(*run).sortWithinPartitions(*run)
+    return sorted_rows.mapInArrow(lambda it: _link_blocks(it, close_of, bound), "a long, b long")
 
 
 def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
@@ -272,34 +293,50 @@ def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id, n_rows): documents whose sets of k-word shingles have this Jaccard similarity, or more, link.
+    """(doc_id, th, component_id, is_first, n_rows): documents whose sets of k-word shingles have this Jaccard similarity, or
+    more, link.
 
     Equal sets are one. Sets meet where one of BANDS runs of BAND_ROWS min-hashes agrees, which depends on nothing but
     their similarity: not on where the texts differ, nor on how often a text repeats a shingle. Sets that meet and whose
     min-hashes are alike enough form groups, with some slack; inside each group the sets themselves are compared, in
-    blocks, and only those of the similarity link. One row for each doc_id, with the number of its rows. Null ids have no
-    row; texts without a word are one group.
+    blocks, and only those of the similarity link.
+
+    One row for each doc_id and text, told by its hash th, with the number of its rows: several texts of one id are
+    documents of their own. component_id is the smallest doc_id of a group; is_first marks the one row of the group that
+    is first by id and th. Null ids have no row; null and wordless texts are one group; an empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    rows = stored(texts.mapInArrow(lambda it: _signed(it, k), "doc_id long, same binary, keys array<long>, signature binary"), "signed")
-    reps = stored(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "reps")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("th", F.xxhash64("text"))
+    rows = stored(texts.select("doc_id", "text", "th").mapInArrow(lambda it: _signed(it, k), "doc_id long, th long, same binary, keys array<long>, signature binary"), "signed")
+    one = F.xxhash64("same").alias("rep")  # a set's number in links and groups
+    reps = stored(rows.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("keys").alias("keys"), F.first("signature").alias("signature")).select(one, "of", "keys", "signature"), "reps")
     bands = reps.select("rep", F.posexplode("keys").alias("table", "key")).select("table", "key", "rep").distinct()
-    groups = stored(components(bucket_links(bands, reps.select("rep", "signature").distinct(), "signature", _alike, similarity, block)), "groups")
+    groups = stored(components(bucket_links(bands, reps.select("rep", "signature"), "signature", _alike, similarity, block)), "groups")
     members = groups.select(F.lit(0).alias("table"), F.col("component").alias("key"), F.col("node").alias("rep"))
-    asked = members.select("key", "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "text")
-    sets = stored(asked.mapInArrow(lambda it: _as_sets(it, k), "key long, rep long, shingles binary").distinct(), "sets")
+    wanted = members.select("key", "rep").join(reps.select("rep", "of.doc_id", "of.th"), "rep")
+    asked = wanted.join(texts.dropDuplicates(["doc_id", "th"]) if _repeats(rows) else texts, ["doc_id", "th"]).select("key", "rep", "text")
+    sets = stored(asked.mapInArrow(lambda it: _as_sets(it, k), "key long, rep long, shingles binary"), "sets")
     found = components(bucket_links(members, sets.select("rep", "shingles"), "shingles", _shared_enough, similarity, block))
-    named = reps.join(found, reps.rep == found.node, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "same").join(named, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows"))
+    named = reps.join(found, reps.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("grp"), "of")
+    first = stored(named.groupBy("grp").agg(F.min("of").alias("first")), "first")
+    placed = stored(named.join(first, "grp").select("rep", "first"), "placed")
+    own = rows.groupBy("doc_id", "th", one).agg(F.count("*").alias("n_rows")).join(placed, "rep")
+    return own.select("doc_id", "th", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("is_first"), "n_rows")
+
+
+def _repeats(rows: DataFrame) -> bool:
+    return bool(rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count())
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with one document of each group of similar_documents(): that of the smallest id. Null ids stay."""
-    groups = stored(similar_documents(docs, **parameters), "groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("n_rows").alias("n"))
+    """docs with one document of each group of similar_documents(): that of the smallest id, and of its texts that of the
+    smallest hash; of rows that repeat both one stays. Null ids stay. Columns stay as they are, whatever their names."""
+    kept = stored(similar_documents(docs, **parameters).where("is_first").select(F.col("doc_id").alias("id"), F.col("th").alias("hash"), F.col("n_rows").alias("n")), "kept")
     # The rows travel as one struct, so that no column of theirs clashes.
-    rest = docs.select(F.struct(*docs.columns).alias("d")).join(kept, F.col("d.doc_id").cast("long") == F.col("id"))
+    own = docs.select(F.struct(*docs.columns).alias("d"))
+    rest = own.join(kept, (F.col("d.doc_id").cast("long") == F.col("id")) & (F.xxhash64("d.text") == F.col("hash")))
     out = rest.where("n = 1").select("d.*").union(docs.where("doc_id is null"))
-    if groups.where("n_rows > 1").limit(1).count():
-        out = out.union(rest.where("n > 1").select("d.*").dropDuplicates(["doc_id"]))
+    if kept.where("n > 1").limit(1).count():
+        # Rows of one id and text: numbered in each, after a first pass within each task.
+        place = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64("d")))
+        out = out.union(rest.where("n > 1").withColumn("place", place).where("place = 1").select("d.*"))
     return out

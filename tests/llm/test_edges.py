@@ -53,6 +53,36 @@ def test_near_copies_filter(docs, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, words("a"), 1), (1, words("b"), 2), (1, words("b"), 2), (2, words("b") + " more", 3), (3, words("c"), 4)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([rows[0], rows[1], rows[4]])
+
+
+def test_lines_of_null_ids_come_first_and_go(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"first\n{passage}"), (None, f"first\n{passage}"), (None, f"second\n{passage}"), (1, f"third\n{passage}"), (2, passage)]
+    got = sorted((r.doc_id is not None, r.doc_id, r.text) for r in linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = [t for _, _, t in got]
+    kept = [t for t in texts if passage in t]
+    assert len(set(kept)) == 1 and kept[0].split("\n")[0] in ("first", "second") and len(kept) == (2 if kept[0].startswith("first") else 1)
+    assert {t for known, i, t in got if known} == {"third", ""}
+    marks = linededup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r.doc_id is None for r in marks) and {r.doc_id for r in marks} == {None, 1, 2}
+
+
+def test_a_workspace_deletes_its_own_tables_only(spark, docs):
+    from chalkline.llm.common import stored, workspace
+
+    before = simhash.near_copies(docs)
+    with workspace(spark) as own:
+        gone, kept = stored(docs.select("doc_id"), "gone"), own.keep(stored(docs.select("doc_id"), "kept"))
+    assert before.count() == kept.count() == docs.count()
+    with pytest.raises(Exception, match="(?i)path|not exist|not found"):
+        gone.count()
+
+
 def test_pii(docs, none):
     out = pii.digest(pii.personal_data(docs))
     assert out.count() == docs.count() and pii.personal_data(none).count() == 0

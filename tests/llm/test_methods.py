@@ -79,6 +79,8 @@ def test_large_buckets_are_dealt_in_blocks(spark):
     want = _groups(range(len(fps)), [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert {i: got.get(i, i) for i in want} == want
     assert found.count() < 31 * len(fps) * len(fps) / 4
+    deeper = {tuple(sorted((r.a, r.b))) for r in simhash.covering_links(rows, [F.col("fp")], 4, "fp", 4, block=1).collect()}
+    assert _groups(range(len(fps)), deeper) == want
 
 
 def test_components_of_chains_stars_and_rings(spark):
