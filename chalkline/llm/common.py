@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from chalkline.plans.scratch import dropped, shared_dir, stored, workspace
 
-__all__ = ["BATCH", "dropped", "fold", "labelled", "shared_dir", "stored", "table", "workspace"]
+__all__ = ["BATCH", "class_of", "dropped", "fold", "labelled", "shared_dir", "stored", "table", "workspace"]
 
 BATCH = 256  # rows that a Python operator returns at a time
 
@@ -22,14 +22,20 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
 
 
+def class_of(labels: DataFrame, label: str, folds: int = 5, held_out: int = 0) -> DataFrame:
+    """(doc_id, y) of the labelled ids outside the held-out fold; where an id has several labels, the largest counts."""
+    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
+    return own.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, *, folds: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, y, text) of a bounded sample of the labelled rows outside the held-out fold.
 
     For each label at most max_rows rows, those whose hashed id is smallest. The sample of ids has at most
     2 * max_rows rows of two numbers, and so it is broadcast; only the sample's texts are shuffled, since an id may have any
-    number of rows. Where an id has several labels, the largest counts.
+    number of rows.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
+    ids = class_of(labels, label, folds, held_out)
     order = F.xxhash64(F.col("doc_id"))
     parts = [ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(max_rows) for y in (0, 1)]
     met = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
