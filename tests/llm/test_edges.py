@@ -138,6 +138,12 @@ def test_top_k(spark):
     assert topk.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_very_large_components(spark):
+    df = spark.createDataFrame([(0, [1e18, 1.0]), (20, [1e18, -1.0]), (3, [-1e300, 2.0]), (4, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()}
+    assert got[0, 20] == got[20, 0] == 2**63 - 1 and got[0, 3] == -(2**63 - 1) and got[0, 4] == 2**63 - 1
+
+
 def test_encoding(docs, none):
     out = bpe.round_trip(docs, PATH, public_tokenizers.PATTERN)
     assert out.count() == docs.count() and out.where("n_tokens = 0").count() == 3

@@ -294,15 +294,17 @@ def test_pruned_search_is_exact(n):
     for q in range(0, n, 5):
         score = block @ block[q]
         want = [(int(score[i]), int(ids[i])) for i in np.lexsort((ids, -score)) if i != q][:20]
-        got, left = shard.search(block[q], int(ids[q]), 20)
+        for floor in (None, want[-1][0] if len(want) == 20 else None):
+            got, left = shard.search(block[q], int(ids[q]), 20, floor)
+            assert got == want
         skipped += left
-        assert got == want
     assert n < 100 or skipped > n
 
 
 def test_search_over_shards_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 90)
-    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "SMALL", 90)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "SEEDS", 64)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     pdf = df.toPandas()
     v, ids = np.floor(64 * np.stack(pdf.embedding).astype(float)).astype(np.int64), pdf.vec_id.to_numpy()
