@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from chalkline.plans.scratch import dropped, shared_dir, stored, workspace
 
-__all__ = ["BATCH", "class_of", "dropped", "fold", "labelled", "shared_dir", "stored", "table", "workspace"]
+__all__ = ["BATCH", "SPARE", "by_chance", "class_of", "dropped", "fold", "labelled", "shared_dir", "stored", "table", "workspace"]
 
 BATCH = 256  # rows that a Python operator returns at a time
 
@@ -28,16 +28,25 @@ def class_of(labels: DataFrame, label: str, folds: int = 5, held_out: int = 0) -
     return own.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
 
 
+SPARE = 4  # so many times the rows of a sample are let through, by a hash of their ids, to the sort that picks it
+
+
+def by_chance(rate: Column, *columns: str) -> Column:
+    """About this share of the rows, told by a hash of some columns."""
+    return F.pmod(F.xxhash64(F.lit("chance"), *columns), F.lit(1 << 30)) < rate * (1 << 30)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, *, folds: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, y, text) of a bounded sample of the labelled rows outside the held-out fold.
 
-    For each label at most max_rows rows, those whose hashed id is smallest. The sample of ids has at most
-    2 * max_rows rows of two numbers, and so it is broadcast; only the sample's texts are shuffled, since an id may have any
-    number of rows.
+    For each label the ids, max_rows at most, whose hash is smallest, each with one row, that of the smallest hash of its
+    text. The sample of ids has at most 2 * max_rows rows of two numbers, and so it is broadcast; no more than its texts are
+    shuffled, by id. Where classes are large, most ids are left out by chance before they are sorted.
     """
     ids = class_of(labels, label, folds, held_out)
+    size = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     order = F.xxhash64(F.col("doc_id"))
-    parts = [ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(max_rows) for y in (0, 1)]
+    parts = [ids.where((F.col("y") == y) & by_chance(F.lit(min(1.0, SPARE * max_rows / max(1, size.get(y, 0)))), "doc_id")).orderBy(order, "doc_id").limit(max_rows) for y in (0, 1)]
     met = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
-    first = F.row_number().over(Window.partitionBy("y").orderBy(order, "doc_id", F.xxhash64("text")))
-    return met.withColumn("place", first).where(F.col("place") <= max_rows).drop("place")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return met.withColumn("place", first).where(F.col("place") == 1).drop("place")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold
+from .common import SPARE, by_chance, fold
 
 BITS = 16
 SIZE = 1 << BITS
@@ -126,10 +126,10 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_sample: int = MAX_SAMPLE, *, folds: int = 4, held_out: int = 2) -> Model:
     """The model of docs(doc_id, text, lang, ...) outside the held-out fold, of which nothing is read.
 
-    Document frequencies come from all other texts. Every language they name is a class, and the rows of each whose hashed id
-    is smallest fit the weights in one task: max_rows of each, or fewer where max_sample is less than that for all languages,
+    Document frequencies come from all other texts. Every language they name is a class, and of each rows that a hash of the
+    id picks fit the weights in one task: max_rows of each, or fewer where max_sample is less than that for all languages,
     but LEAST_ROWS of each. The task holds half a megabyte for each language. Null languages and texts without a letter, and
-    null ids, are no training rows; rows that repeat an id are training rows each, up to the same number. Without any
+    null ids, are no training rows; rows that repeat an id and a text are one. Without any
     rows, as in an empty table, the model knows no language and answers `und`.
     """
     spark = docs.sparkSession
@@ -142,15 +142,19 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_sample: int = MAX_SAMPLE,
             idf[r["feature"]] = r["n"]
     idf = np.log((1 + texts) / (1 + idf)) + 1
     known = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], idf, np.zeros((SIZE + 1, 0)), 1.0)
     least = max(LEAST_ROWS, min(max_rows, max_sample // len(languages)))
-    # Ranks are limited within each task before they are shuffled, so that a frequent language is no large task.
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th"))
-    picked = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("th")).withColumn("place", first).where(F.col("place") <= least).select("doc_id", "lang", "th").distinct()
+    # Most rows of a frequent language are left out by chance before the rest are sorted. The table of rates is as long as the model is wide.
+    rates = spark.createDataFrame([(lang, min(1.0, SPARE * least / n)) for lang, n in sizes.items()], "lang string, rate double")
+    numbered = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("th"))
+    tried = numbered.join(F.broadcast(rates), "lang").where(by_chance(F.col("rate"), "doc_id", "th")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th"))
+    picked = tried.withColumn("place", place).where(F.col("place") <= least).select("doc_id", "lang", "th")
     met = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("th")).join(F.broadcast(picked), ["doc_id", "lang", "th"])
-    rows = met.withColumn("place", first).where(F.col("place") <= least)  # an id may have any number of rows
+    rows = met.dropDuplicates(["doc_id", "lang", "th"])
     sent = spark.sparkContext.broadcast(idf)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
