@@ -53,6 +53,23 @@ POLYLINES = """
             concat('line#', row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS element
         FROM (SELECT user_id, event_id, CAST(event_id % 37 AS DOUBLE) AS x1, value AS y1, CAST(lead(event_id) OVER o % 37 AS DOUBLE) AS x2, lead(value) OVER o AS y2 FROM events WHERE value IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) e
         WHERE x2 IS NOT NULL"""
+_NUDGE = "CASE WHEN o_orderkey % 3 = 0 THEN 0.0000001 * (o_custkey % 5) ELSE 0 END"
+_FAR = "CASE WHEN floor(o_orderkey / 4) % 13 = 5 THEN 1000000000000000 ELSE 0 END"
+_SHORT = "CASE WHEN o_orderkey % 17 = 2 THEN 0.00001 ELSE 1 END"
+#: Four short segments to a drawing: some cross, some nearly touch, some ends nearly meet, some lie too far out, some are no numbers.
+HEAPS = f"""
+        SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS drawing_id, CAST(o_orderkey % 4 AS INT) AS seg_ix,
+            CASE WHEN o_orderkey % 97 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(o_orderkey * 7 % 5 + {_FAR} AS DOUBLE) END AS x1, CAST(floor(o_totalprice) % 4 + {_NUDGE} AS DOUBLE) AS y1,
+            CAST(o_orderkey * 7 % 5 + (1 + o_custkey % 3) * {_SHORT} + {_FAR} AS DOUBLE) AS x2, CAST(floor(o_totalprice) % 4 + floor(o_totalprice / 7) % 3 * {_SHORT} + CASE WHEN o_orderkey % 5 = 1 THEN 0.00002 ELSE 0 END AS DOUBLE) AS y2,
+            concat('line#', o_orderkey % 4) AS element
+        FROM orders"""
+#: Twenty-four segments between three to six points, two times three in a row.
+WEBS = """
+        SELECT drawing_id, seg_ix, CAST(a % 3 AS DOUBLE) AS x1, floor(a / 3) AS y1, CAST(b % 3 AS DOUBLE) AS x2, floor(b / 3) AS y2, concat('line#', seg_ix) AS element
+        FROM (SELECT drawing_id, seg_ix, a, (a + 1 + step % (k - 1)) % k AS b FROM (
+            SELECT drawing_id, seg_ix, step, k, (o_custkey + seg_ix) % k AS a FROM (
+                SELECT CAST(floor(o_orderkey / 24) AS BIGINT) AS drawing_id, CAST(o_orderkey % 24 AS INT) AS seg_ix, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS step, CAST(3 + floor(o_orderkey / 24) % 4 AS BIGINT) AS k FROM orders) p) q) r"""
+GRID, FEW = 0.001, 6
 PLANE = "SELECT label AS drawing_id, CAST(vec_id AS INT) AS v, CAST(element_at(embedding, 1) AS DOUBLE) AS x, CAST(element_at(embedding, 2) AS DOUBLE) AS y FROM embeddings"
 PLANE_SQL = PLANE.replace("element_at", "list_extract")  # DuckDB's name for it
 RHO, RADIUS, NEAR, CLOSE, SHORT = G.RHO, 0.5, 1.5, 0.02, 20.0
@@ -172,6 +189,40 @@ def contested_verdicts(spark, sf_dir):
     return V.verdicts(_view(spark, sf_dir, CHORDS)).select(D, "status", "reason", "kind", "pieces", "faces", "n_more", F.size("look_at").alias("n_sites"))
 
 
+TOLD = ["status", "reason", "kind", "v", "e", "pieces", "faces", "chi", "dangles", "n_subdivided", "n_dup_edges", "n_merged", "n_candidates", "n_more"]
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select(D, *TOLD, F.round("t_above", 9).alias("t_above"))
+
+
+def heap_verdicts(spark, sf_dir):
+    """What is certified, what is refused and why, for heaps of segments that touch in every way."""
+    return _told(V.verdicts(_view(spark, sf_dir, HEAPS)))
+
+
+def grid_verdicts(spark, sf_dir):
+    """The same at a scale that the caller names."""
+    return _told(V.verdicts(_view(spark, sf_dir, HEAPS), grid=GRID))
+
+
+def budget_verdicts(spark, sf_dir):
+    """Webs of segments under a ceiling of a few vertices."""
+    return _told(V.verdicts(_view(spark, sf_dir, WEBS), max_vertices=FEW))
+
+
+def refusals_by_reason(spark, sf_dir):
+    """The refusals of heaps and their reasons, with subtotals."""
+    return E.histogram(V.verdicts(_view(spark, sf_dir, HEAPS)).where("status <> 'CERTIFIED'").select("kind", "reason"), ["kind", "reason"])
+
+
+def claims_on_heaps(spark, sf_dir):
+    """One claim for each heap, against whatever its verdict is."""
+    rows = _view(spark, sf_dir, HEAPS)
+    claims = rows.select(D).distinct().select(D, F.lit(0).cast("bigint").alias("faces"), F.when(F.col(D) % 2 == 0, 1).cast("bigint").alias("pieces"), F.lit(None).cast("bigint").alias("chi"))
+    return V.checked(claims, V.verdicts(rows)).select(D, "verdict", "exit_code")
+
+
 CLAIMS = "SELECT s_suppkey AS drawing_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS faces, CAST(1 AS BIGINT) AS pieces, CAST(NULL AS BIGINT) AS chi FROM supplier"
 
 
@@ -327,7 +378,7 @@ def stamp_stream(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     exact_vertices, distinct_edges, euler_counts, vertex_edge_spectrum, near_incidences, crossings, subdivided_edges, merge_heights, single_linkage,
-    cluster_stats, scale_gaps, containing_window, verdicts, verdict_json, scale_sensitivity, truth_by_name, contested_verdicts, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
+    cluster_stats, scale_gaps, containing_window, verdicts, verdict_json, scale_sensitivity, truth_by_name, contested_verdicts, heap_verdicts, grid_verdicts, budget_verdicts, refusals_by_reason, claims_on_heaps, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
     strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, degree_histogram, collapsed_edges, plane_linkage, nearest_pairs, polyline_crossings, part_supplier_euler, union_counts, loop_counts, svg_round_trip, skipped_elements, change_stamps, stamp_stream,
 )}
 
@@ -377,7 +428,90 @@ _STAMPS = f"""WITH e AS ({EVENTS}), w AS (
         FROM w
     ) SELECT * FROM t WHERE stamp IS NOT NULL"""
 
+
+
+def _verdict_sql(segments: str, cap: int = G.VERTEX_CAP, grid: float | None = None) -> str:
+    """CTEs up to `told`: the verdict of every drawing of at most CLUSTER_MAX vertices, from its spectrum and windows on.
+
+    The merge heights are the distances of pairs that no chain of shorter ones connects.
+    """
+    budget = G.pair_budget(cap)
+    inside = "" if grid is None else f" AND lo <= {grid} AND hi > {grid}"
+    sound = f"SELECT * FROM ({segments}) z WHERE drawing_id NOT IN (SELECT drawing_id FROM ({segments}) b WHERE NOT (isfinite(x1) AND isfinite(y1) AND isfinite(x2) AND isfinite(y2)))"
+    apart = "sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y))"
+    t = "CASE WHEN (bx-ax)*(bx-ax) + (b_y-ay)*(b_y-ay) > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x-ax)*(bx-ax) + (y-ay)*(b_y-ay)) / ((bx-ax)*(bx-ax) + (b_y-ay)*(b_y-ay)))) ELSE 0 END"
+    kinds = " ".join(f"WHEN '{r}' THEN '{k}'" for r, k in V.KIND_OF.items())
+    return _vertices_sql(sound) + _DISTANCES + f""", bad AS (SELECT DISTINCT drawing_id FROM ({segments}) z WHERE NOT (isfinite(x1) AND isfinite(y1) AND isfinite(x2) AND isfinite(y2))),
+    sz AS (SELECT drawing_id, count(*) AS m, max(greatest(abs(x1), abs(y1), abs(x2), abs(y2))) AS big FROM s GROUP BY 1),
+    sizes AS (SELECT sz.*, n, {G.FLOOR_ULPS * G.EPS!r}::DOUBLE * CASE WHEN big = 0 THEN 1 ELSE big END AS floor, {G.MARGIN_ULPS * G.EPS!r}::DOUBLE * CASE WHEN big = 0 THEN 1 ELSE big END AS margin
+        FROM sz JOIN (SELECT drawing_id, count(*) AS n FROM vs GROUP BY 1) k USING (drawing_id)),
+    fit AS (SELECT * FROM sizes WHERE n <= {cap} AND n * m <= {budget}), fv AS (SELECT vs.* FROM vs JOIN fit USING (drawing_id)),
+    seg AS (SELECT s.drawing_id, s.seg_ix, p.v AS a, q.v AS b FROM s JOIN fv p ON p.drawing_id = s.drawing_id AND p.x = s.x1 AND p.y = s.y1 JOIN fv q ON q.drawing_id = s.drawing_id AND q.x = s.x2 AND q.y = s.y2),
+    pd AS (SELECT p.drawing_id, p.v AS i, q.v AS j, {apart} AS d FROM fv p JOIN fv q ON p.drawing_id = q.drawing_id AND p.v <> q.v),
+    tau AS (SELECT DISTINCT drawing_id, d AS tau FROM pd),
+    reach1(drawing_id, tau, v, root) AS (
+        SELECT tau.drawing_id, tau, v, v FROM tau JOIN fv USING (drawing_id) UNION SELECT r.drawing_id, r.tau, pd.j, r.root FROM reach1 r JOIN pd ON pd.drawing_id = r.drawing_id AND pd.i = r.v AND pd.d < r.tau AND r.root < pd.j
+    ), root1 AS (SELECT drawing_id, tau, v, min(root) AS root FROM reach1 GROUP BY 1, 2, 3),
+    heights AS (SELECT DISTINCT pd.drawing_id, pd.d AS s FROM pd JOIN root1 x ON x.drawing_id = pd.drawing_id AND x.tau = pd.d AND x.v = pd.i JOIN root1 y ON y.drawing_id = pd.drawing_id AND y.tau = pd.d AND y.v = pd.j WHERE x.root <> y.root),
+    sp AS (SELECT h.drawing_id, h.s FROM (SELECT * FROM heights UNION SELECT drawing_id, d FROM dd) h JOIN fit ON fit.drawing_id = h.drawing_id AND h.s > floor UNION SELECT drawing_id, floor FROM fit),
+    gp AS (SELECT drawing_id, s AS lo, lead(s) OVER (PARTITION BY drawing_id ORDER BY s) AS hi, row_number() OVER (PARTITION BY drawing_id ORDER BY s) - 1 AS nth FROM sp),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY CASE WHEN nth = 0 THEN 1 ELSE 0 END, hi / lo DESC, lo) - 1 AS cand FROM gp WHERE hi / lo >= {RHO}{inside}),
+    cands AS (SELECT r.drawing_id, cand, lo, hi, m, margin FROM ranked r JOIN fit USING (drawing_id) WHERE cand < {G.CAND_MAX}),
+    reach2(drawing_id, cand, lo, v, root) AS (
+        SELECT c.drawing_id, cand, lo, v, v FROM cands c JOIN fv USING (drawing_id) UNION SELECT r.drawing_id, r.cand, r.lo, pd.j, r.root FROM reach2 r JOIN pd ON pd.drawing_id = r.drawing_id AND pd.i = r.v AND pd.d <= r.lo AND r.root < pd.j
+    ), root2 AS (SELECT drawing_id, cand, v, min(root) AS label FROM reach2 GROUP BY 1, 2, 3),
+    pts AS (SELECT drawing_id, cand, v, rep.x AS x, rep.y AS y FROM (SELECT r.drawing_id, cand, label AS v, min({{'x': x, 'y': y}}) AS rep FROM root2 r JOIN fv USING (drawing_id, v) GROUP BY 1, 2, 3) z),
+    cseg AS (SELECT seg.drawing_id, p.cand, seg_ix, p.label AS a, q.label AS b FROM seg JOIN root2 p ON p.drawing_id = seg.drawing_id AND p.v = seg.a JOIN root2 q ON q.drawing_id = seg.drawing_id AND q.v = seg.b AND q.cand = p.cand),
+    dead AS (SELECT drawing_id, cand, count(*) AS n_dead FROM cseg WHERE a = b GROUP BY 1, 2),
+    whole AS (SELECT c.* FROM cands c LEFT JOIN dead USING (drawing_id, cand) WHERE n_dead IS NULL AND hi > margin),
+    ued AS (SELECT DISTINCT c.drawing_id, c.cand, least(a, b) AS a, greatest(a, b) AS b FROM cseg c JOIN whole USING (drawing_id, cand)),
+    nc AS (SELECT drawing_id, cand, count(*) AS n_clusters FROM pts GROUP BY 1, 2), nu AS (SELECT drawing_id, cand, count(*) AS n_edges FROM ued GROUP BY 1, 2),
+    uend AS (SELECT u.*, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y FROM ued u JOIN pts p ON p.drawing_id = u.drawing_id AND p.cand = u.cand AND p.v = u.a JOIN pts q ON q.drawing_id = u.drawing_id AND q.cand = u.cand AND q.v = u.b),
+    ct AS (SELECT u.*, pts.v, x, y, {t} AS t FROM uend u JOIN pts ON pts.drawing_id = u.drawing_id AND pts.cand = u.cand AND pts.v <> u.a AND pts.v <> u.b),
+    cd AS (SELECT *, sqrt((x - (ax + t*(bx-ax)))*(x - (ax + t*(bx-ax))) + (y - (ay + t*(b_y-ay)))*(y - (ay + t*(b_y-ay)))) AS d FROM ct),
+    near AS (SELECT cd.* FROM cd JOIN whole w USING (drawing_id, cand) JOIN nc USING (drawing_id, cand) JOIN nu USING (drawing_id, cand) WHERE d < w.hi AND n_clusters * n_edges <= {budget}),
+    band AS (SELECT drawing_id, cand, count(*) AS n_band FROM near WHERE d > 0 GROUP BY 1, 2),
+    clear AS (SELECT w.* FROM whole w JOIN nc USING (drawing_id, cand) JOIN nu USING (drawing_id, cand) LEFT JOIN band USING (drawing_id, cand) WHERE n_band IS NULL AND n_clusters * n_edges <= {budget}),
+    onto AS (SELECT near.* FROM near JOIN clear USING (drawing_id, cand) WHERE d = 0), split AS (SELECT drawing_id, cand, count(DISTINCT (a, b)) AS n_subdivided FROM onto GROUP BY 1, 2),
+    stops AS (SELECT u.drawing_id, u.cand, a, b, -1.0::DOUBLE AS t, a AS v FROM ued u JOIN clear USING (drawing_id, cand) UNION ALL SELECT u.drawing_id, u.cand, a, b, 2.0, b FROM ued u JOIN clear USING (drawing_id, cand) UNION ALL SELECT drawing_id, cand, a, b, t, v FROM onto),
+    hops AS (SELECT *, lead(v) OVER (PARTITION BY drawing_id, cand, a, b ORDER BY t, v) AS w FROM stops),
+    final AS (SELECT drawing_id, cand, least(v, w) AS a, greatest(v, w) AS b, count(*) AS parts FROM hops WHERE w IS NOT NULL GROUP BY 1, 2, 3, 4),
+    nf AS (SELECT drawing_id, cand, count(*) AS n_final, CAST(sum(parts) AS BIGINT) AS parts FROM final GROUP BY 1, 2),
+    fe AS (SELECT f.*, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y FROM final f JOIN pts p ON p.drawing_id = f.drawing_id AND p.cand = f.cand AND p.v = f.a JOIN pts q ON q.drawing_id = f.drawing_id AND q.cand = f.cand AND q.v = f.b),
+    xs AS (SELECT p.drawing_id, p.cand, count(*) AS n_cross FROM (SELECT *, bx AS ex, b_y AS ey FROM fe) p JOIN (SELECT drawing_id, cand, a, b, ax AS cx, ay AS cy, bx AS dx, b_y AS dy FROM fe) q
+        ON p.drawing_id = q.drawing_id AND p.cand = q.cand AND (p.a, p.b) < (q.a, q.b) AND p.a NOT IN (q.a, q.b) AND p.b NOT IN (q.a, q.b)
+        WHERE (((ex-ax)*(cy-ay) - (ey-ay)*(cx-ax)) > 0) <> (((ex-ax)*(dy-ay) - (ey-ay)*(dx-ax)) > 0) AND (((dx-cx)*(ay-cy) - (dy-cy)*(ax-cx)) > 0) <> (((dx-cx)*(ey-cy) - (dy-cy)*(ex-cx)) > 0)
+            AND NOT (greatest(ax, ex) < least(cx, dx) OR greatest(cx, dx) < least(ax, ex) OR greatest(ay, ey) < least(cy, dy) OR greatest(cy, dy) < least(ay, ey)) GROUP BY 1, 2),
+    fhop AS (SELECT drawing_id, cand, a AS u, b AS w FROM final UNION ALL SELECT drawing_id, cand, b, a FROM final),
+    reach3(drawing_id, cand, v, root) AS (SELECT p.drawing_id, p.cand, v, v FROM pts p JOIN clear USING (drawing_id, cand) UNION SELECT h.drawing_id, h.cand, h.w, r.root FROM reach3 r JOIN fhop h ON h.drawing_id = r.drawing_id AND h.cand = r.cand AND h.u = r.v AND r.root < h.w),
+    np AS (SELECT drawing_id, cand, count(DISTINCT root) AS pieces FROM (SELECT drawing_id, cand, v, min(root) AS root FROM reach3 GROUP BY 1, 2, 3) z GROUP BY 1, 2),
+    nd AS (SELECT drawing_id, cand, count(*) AS dangles FROM (SELECT drawing_id, cand, u FROM fhop GROUP BY 1, 2, 3 HAVING count(*) = 1) z GROUP BY 1, 2),
+    o AS (SELECT c.*, n, n_clusters, n_edges, n_final, parts, n_dead, n_band, n_cross, coalesce(n_subdivided, 0) AS n_subdivided, pieces, coalesce(dangles, 0) AS dangles,
+        CASE WHEN NOT hi > c.margin THEN 'MARGIN_TOO_SMALL' WHEN n_dead > 0 THEN 'EDGE_COLLAPSED' WHEN n_clusters * n_edges > {budget} THEN 'TOO_MANY_PAIRS' WHEN n_band > 0 THEN 'VERTEX_NEAR_EDGE' WHEN n_final * n_final > {budget} THEN 'TOO_MANY_PAIRS' WHEN n_cross > 0 THEN 'EDGES_CROSS' END AS reason
+        FROM cands c JOIN fit USING (drawing_id) LEFT JOIN nc USING (drawing_id, cand) LEFT JOIN nu USING (drawing_id, cand) LEFT JOIN nf USING (drawing_id, cand) LEFT JOIN dead USING (drawing_id, cand) LEFT JOIN band USING (drawing_id, cand)
+            LEFT JOIN xs USING (drawing_id, cand) LEFT JOIN split USING (drawing_id, cand) LEFT JOIN np USING (drawing_id, cand) LEFT JOIN nd USING (drawing_id, cand)),
+    pick AS (SELECT *, count(*) OVER (PARTITION BY drawing_id) AS n_candidates, coalesce(min(CASE WHEN reason IN ('EDGE_COLLAPSED', 'MARGIN_TOO_SMALL') THEN NULL ELSE cand END) OVER (PARTITION BY drawing_id), 0) AS chosen FROM o),
+    ans AS (
+        SELECT drawing_id, reason, n_clusters AS v, n_final AS e, pieces, n_final - n_clusters + pieces AS faces, n_clusters - n_final AS chi, dangles, n_subdivided, m - n_edges + parts - n_final AS n_dup_edges, n - n_clusters AS n_merged, n_candidates,
+            greatest(0, CASE reason WHEN 'EDGE_COLLAPSED' THEN n_dead WHEN 'VERTEX_NEAR_EDGE' THEN n_band WHEN 'EDGES_CROSS' THEN n_cross ELSE 1 END - {G.SITES}) AS n_more, round(hi, 9) AS t_above FROM pick WHERE cand = chosen
+    ), rest AS (
+        SELECT drawing_id, 'NO_STABLE_SCALE' AS reason FROM fit WHERE drawing_id NOT IN (SELECT drawing_id FROM ans)
+        UNION ALL SELECT drawing_id, 'TOO_MANY_VERTICES' FROM sizes WHERE drawing_id NOT IN (SELECT drawing_id FROM fit) UNION ALL SELECT drawing_id, 'BAD_INPUT' FROM bad
+    ), told AS (
+        SELECT drawing_id, CASE WHEN reason IS NULL THEN 'CERTIFIED' WHEN reason = 'BAD_INPUT' THEN 'BAD INPUT' ELSE 'REFUSED' END AS status, reason, CASE reason {kinds} END AS kind,
+            {", ".join(f"CASE WHEN reason IS NULL THEN {c} END AS {c}" for c in TOLD[3:-1])}, n_more, CASE WHEN reason IS NULL THEN t_above END AS t_above
+        FROM (SELECT * FROM ans UNION ALL SELECT drawing_id, reason, {", ".join(["NULL"] * 10)}, 0, NULL FROM rest) z
+    )"""
+
+
 SQL = {
+    "heap_verdicts": _verdict_sql(HEAPS) + " SELECT * FROM told",
+    "grid_verdicts": _verdict_sql(HEAPS, grid=GRID) + " SELECT * FROM told",
+    "budget_verdicts": _verdict_sql(WEBS, cap=FEW) + " SELECT * FROM told",
+    "refusals_by_reason": _verdict_sql(HEAPS) + """, r AS (SELECT kind, reason FROM told WHERE status <> 'CERTIFIED')
+        SELECT kind, reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM r), 6)::DOUBLE AS percent FROM r GROUP BY ROLLUP (kind, reason)""",
+    "claims_on_heaps": _verdict_sql(HEAPS) + """ SELECT drawing_id, CASE WHEN status = 'BAD INPUT' THEN 'BAD INPUT' WHEN status <> 'CERTIFIED' THEN 'REFUSED' WHEN faces = 0 AND (drawing_id % 2 <> 0 OR pieces = 1) THEN 'HELD' ELSE 'BROKEN' END AS verdict,
+        CASE WHEN status = 'BAD INPUT' THEN 3 WHEN status <> 'CERTIFIED' THEN 2 WHEN faces = 0 AND (drawing_id % 2 <> 0 OR pieces = 1) THEN 0 ELSE 1 END AS exit_code FROM told""",
     "exact_vertices": _vertices_sql(LATTICE) + " SELECT drawing_id, v, x, y FROM vs",
     "distinct_edges": _vertices_sql(LATTICE) + " SELECT drawing_id, a, b, seg_ix, element, n FROM es",
     "euler_counts": _EULER + " SELECT * FROM counts",
