@@ -347,6 +347,16 @@ def skipped_elements(spark, sf_dir):
     return rows.select(F.explode("skipped").alias("tag", "n")).groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("drawings"))
 
 
+SHAPES = """SELECT p_partkey AS drawing_id, p_size AS s, concat('<svg><defs><rect id="r" width="', p_size, 'px" height="3"/></defs><use href="#r" x="', p_size, '" y="2"/><text>t</text>',
+    '<g transform="translate(10,', p_size, ') scale(2)"><line x1="1" y1="0.5" x2="', p_size, '" y2="4"/></g><path d="M0 0Q', p_size, ' 10 ', 2 * p_size, ' 0l3-1"/><clipPath><rect width="9" height="9"/></clipPath></svg>') AS svg FROM part"""
+
+
+def svg_shapes(spark, sf_dir):
+    """Documents with a unit, a use of a definition, transforms and a curve of four chords."""
+    found = svg.segments(svg.parsed(_view(spark, sf_dir, SHAPES).select(D, "svg"), 4))
+    return found.select(F.col(D).cast("bigint").alias(D), "seg_ix", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")], "element")
+
+
 EVENTS = """SELECT concat('/drawings/u', user_id, '.svg') AS path, event_id AS seq, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'CERTIFIED' ELSE 'REFUSED' END AS status,
     CAST(floor(value) % 3 + 1 AS BIGINT) AS pieces, CAST(floor(value) % 5 AS BIGINT) AS faces, CAST(event_id % 2 AS BIGINT) AS dangles, CAST(10 AS DOUBLE) AS rho, 'derived' AS grid_source,
     CASE WHEN event_type IN ('click', 'view', 'purchase') THEN NULL WHEN event_id % 3 = 0 THEN 'EDGES_CROSS' ELSE 'NO_GEOMETRY' END AS reason FROM events"""
@@ -379,7 +389,7 @@ def stamp_stream(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     exact_vertices, distinct_edges, euler_counts, vertex_edge_spectrum, near_incidences, crossings, subdivided_edges, merge_heights, single_linkage,
     cluster_stats, scale_gaps, containing_window, verdicts, verdict_json, scale_sensitivity, truth_by_name, contested_verdicts, heap_verdicts, grid_verdicts, budget_verdicts, refusals_by_reason, claims_on_heaps, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
-    strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, degree_histogram, collapsed_edges, plane_linkage, nearest_pairs, polyline_crossings, part_supplier_euler, union_counts, loop_counts, svg_round_trip, skipped_elements, change_stamps, stamp_stream,
+    strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, degree_histogram, collapsed_edges, plane_linkage, nearest_pairs, polyline_crossings, part_supplier_euler, union_counts, loop_counts, svg_round_trip, svg_shapes, skipped_elements, change_stamps, stamp_stream,
 )}
 
 
@@ -570,6 +580,12 @@ SQL = {
     "union_counts": _EULER + " SELECT drawing_id, 2 * v AS v, 2 * e AS e, 2 * pieces AS pieces, 2 * faces AS faces, 2 * chi AS chi FROM counts",
     "loop_counts": _EULER + " SELECT drawing_id, v + 4 AS v, e + 5 AS e, pieces, faces + 1 AS faces, chi - 1 AS chi FROM counts",
     "svg_round_trip": f"SELECT CAST(drawing_id AS VARCHAR) AS drawing_id, seg_ix, x1, y1, x2, y2, concat('line#s', seg_ix) AS element FROM ({LATTICE}) s",
+    "svg_shapes": f"""WITH p AS ({SHAPES}), l AS (
+            SELECT drawing_id, k AS seg_ix, s + CASE WHEN k IN (1, 2) THEN s ELSE 0 END AS x1, 2 + CASE WHEN k IN (2, 3) THEN 3 ELSE 0 END AS y1, s + CASE WHEN k IN (0, 1) THEN s ELSE 0 END AS x2, 2 + CASE WHEN k IN (1, 2) THEN 3 ELSE 0 END AS y2, 'rect#r' AS element FROM p, range(4) r(k)
+            UNION ALL SELECT drawing_id, 4, 12, s + 1, 10 + 2 * s, s + 8, 'line#0' FROM p
+            UNION ALL SELECT drawing_id, 5 + k, 2 * s * k / 4.0, 20 * (1 - k / 4.0) * k / 4.0, 2 * s * (k + 1) / 4.0, 20 * (1 - (k + 1) / 4.0) * (k + 1) / 4.0, 'path#0' FROM p, range(4) r(k)
+            UNION ALL SELECT drawing_id, 9, 2 * s, 0, 2 * s + 3, -1, 'path#0' FROM p
+        ) SELECT drawing_id, CAST(seg_ix AS INTEGER) AS seg_ix, round(x1::DOUBLE, 6) AS x1, round(y1::DOUBLE, 6) AS y1, round(x2::DOUBLE, 6) AS x2, round(y2::DOUBLE, 6) AS y2, element FROM l""",
     "skipped_elements": """WITH t AS (SELECT 'text' AS tag, p_size % 4 AS n FROM part UNION ALL SELECT 'image', p_size % 3 FROM part UNION ALL SELECT 'path-without-d', 1 FROM part)
         SELECT tag, CAST(sum(n) AS BIGINT) AS n, count(*) AS drawings FROM t WHERE n > 0 GROUP BY 1""",
     "change_stamps": _STAMPS,

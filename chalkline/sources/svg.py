@@ -21,15 +21,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from chalkline.functions.geometry import EPS, FLOOR_ULPS
 
 FLATTEN, FLATTEN_MAX = 16, 5000
-# Tags that only hold others, and tags that draw.
-CONTAINERS = frozenset(["svg", "g", "defs", "symbol", "a", "switch", "use", "title", "desc", "metadata", "style", "clipPath", "mask", "marker", "pattern"])
+# Tags, in lower case, that are no drawing of their own and are not counted as skipped; and tags that draw.
+CONTAINERS = frozenset([
+    "svg", "g", "defs", "symbol", "clippath", "mask", "marker", "pattern", "title", "desc", "style", "metadata", "switch", "a", "view", "script",
+    "lineargradient", "radialgradient", "stop", "filter", "font", "fontface", "animate", "animatetransform", "animatemotion", "set", "use",
+])
 SHAPES = frozenset(["line", "rect", "polyline", "polygon", "circle", "ellipse", "path"])
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
-_TOKEN = re.compile(r"[MmLlHhVvCcSsQqTtAaZz]|" + _NUMBER.pattern)
+_COMMAND = re.compile(r"[MmLlHhVvCcSsQqTtAaZz]")
 _CALL = re.compile(r"(matrix|translate|scale|rotate|skewX|skewY)\s*\(([^)]*)\)")
 # How many numbers a path command takes.
 ARITY = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
 
+# What is drawn only where a use element asks for it, and the pixels of a unit.
+KEPT = frozenset(["defs", "symbol", "clippath", "mask", "marker", "pattern"])
+UNITS = {"": 1.0, "px": 1.0, "pt": 4 / 3, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4, "q": 96 / 101.6}
+USES = 32  # uses inside uses
+
 Affine = tuple[float, float, float, float, float, float]
 IDENTITY: Affine = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
@@ -79,8 +87,8 @@ def _length(text: str | None, whole: float = 100.0, default: float = 0.0) -> flo
     m = _NUMBER.match((text or "").strip())
     if not m:
         return default
-    unit = text.strip()[m.end() :]
-    return float(m[0]) * (whole / 100 if unit == "%" else 1.0)
+    unit = text.strip()[m.end() :].strip().lower()
+    return float(m[0]) * (whole / 100 if unit == "%" else UNITS.get(unit, 1.0))
 
 
 def viewport(root: ET.Element) -> Affine:
@@ -135,8 +143,36 @@ def _ellipse(cx: float, cy: float, rx: float, ry: float) -> Iterator[tuple[str,
     yield "close", (tip[0], tip[0])
 
 
+def _tokens(d: str) -> list[str]:
+    """Commands and numbers. The flags of an arc are single digits, which may stand against the next number."""
+    out, at, arc, nth = [], 0, False, 0
+    while at < len(d):
+        c = d[at]
+        if _COMMAND.match(c):
+            arc, nth = c in "Aa", 0
+            found = c
+        elif arc and nth % ARITY["A"] in (3, 4) and c in "01":
+            found, nth = c, nth + 1
+        elif m := _NUMBER.match(d, at):
+            found, nth = m[0], nth + 1
+        else:
+            at += 1
+            continue
+        out.append(found)
+        at += len(found)
+    return out
+
+
+def _rounded(x: float, y: float, w: float, h: float, rx: float, ry: float) -> Iterator[tuple[str, tuple]]:
+    """A rectangle whose corners are quarters of an ellipse, clockwise from the left end of the top side."""
+    sides = [(complex(x + rx, y), complex(x + w - rx, y)), (complex(x + w, y + ry), complex(x + w, y + h - ry)), (complex(x + w - rx, y + h), complex(x + rx, y + h)), (complex(x, y + h - ry), complex(x, y + ry))]
+    for i, (a, b) in enumerate(sides):
+        yield "line", (a, b)
+        yield "arc", (b, rx, ry, 0.0, False, True, sides[(i + 1) % 4][0])
+
+
 def _path(d: str) -> Iterator[tuple[str, tuple]]:
-    tokens, i = _TOKEN.findall(d), 0
+    tokens, i = _tokens(d), 0
     at = start = last = 0j
     command, before = "", ""
     while i < len(tokens):
@@ -183,7 +219,11 @@ def _pieces(tag: str, e: ET.Element) -> Iterator[tuple[str, tuple]]:
         yield "line", (complex(n("x1"), n("y1")), complex(n("x2"), n("y2")))
     elif tag == "rect":
         x, y, w, h = n("x"), n("y"), n("width"), n("height")
-        if w > 0 and h > 0:
+        rx, ry = _length(e.get("rx"), w, -1.0), _length(e.get("ry"), h, -1.0)
+        rx, ry = min(ry if rx < 0 else rx, w / 2), min(rx if ry < 0 else ry, h / 2)
+        if w > 0 and h > 0 and rx > 0 and ry > 0:
+            yield from _rounded(x, y, w, h, rx, ry)
+        elif w > 0 and h > 0:
             corner = [complex(x, y), complex(x + w, y), complex(x + w, y + h), complex(x, y + h)]
             for a, b in zip(corner, corner[1:], strict=False):
                 yield "line", (a, b)
@@ -210,13 +250,27 @@ def parse(text: str | None, flatten: int = FLATTEN) -> Drawing:
     out, ordinal, closes = Drawing(), {}, []
     try:
         root = ET.fromstring(text or "")
-        stack = [(root, viewport(root))]
+        named = {e.get("id"): e for e in root.iter() if e.get("id")}
+        stack = [(root, viewport(root), 0)]
         while stack:
-            e, m = stack.pop()
+            e, m, depth = stack.pop()
             tag = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
             m = times(m, transform(e.get("transform"))) if e.get("transform") else m
-            stack += [(child, m) for child in reversed(list(e))]
-            if not tag or tag in CONTAINERS:
+            if tag.lower() == "use":
+                link = next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "href"), "")
+                target = named.get(link.removeprefix("#")) if link.startswith("#") else None
+                if target is not None and depth < USES:
+                    m = times(m, (1, 0, 0, 1, _length(e.get("x")), _length(e.get("y"))))
+                    if target.tag.rpartition("}")[2].lower() in KEPT:  # what it holds, not the holder
+                        m = times(m, transform(target.get("transform")))
+                        stack += [(child, m, depth + 1) for child in reversed(list(target))]
+                    else:
+                        stack.append((target, m, depth + 1))
+                continue
+            if tag.lower() in KEPT:
+                continue
+            stack += [(child, m, depth) for child in reversed(list(e))]
+            if not tag or tag.lower() in CONTAINERS:
                 continue
             if tag not in SHAPES:
                 out.skipped[tag] = out.skipped.get(tag, 0) + 1
@@ -307,14 +361,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SvgSource(DataSource):
-    """spark.read.format("svg").load(path): segments of the .svg files below a folder that every executor sees."""
+    """spark.read.format("svg").load(path): segments of the .svg files below a folder that every executor sees.
+
+    A file that can't be read as a drawing is one row with its error and no segment. The folder may be any that the
+    file systems of Arrow know; read() is the way through Spark's own file systems.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "svg"
 
     def schema(self) -> str:
-        return "drawing_id string, seg_ix int, x1 double, y1 double, x2 double, y2 double, element string"
+        return "drawing_id string, seg_ix int, x1 double, y1 double, x2 double, y2 double, element string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _SvgReader(self.options)
@@ -324,14 +382,24 @@ class _SvgReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path, self.flatten = options["path"], int(options.get("flatten", FLATTEN))
 
+    def _opened(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+
     def partitions(self):
-        import glob
+        from pyarrow import fs
 
-        files = sorted(glob.glob(f"{self.path}/**/*.svg", recursive=True))
+        system, top = self._opened()
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file and f.path.lower().endswith(".svg"))
         return [InputPartition(files[i : i + 64]) for i in range(0, len(files), 64)] or [InputPartition([])]
 
     def read(self, partition):
+        system, _ = self._opened()
         for file in partition.value:
-            with open(file, encoding="utf-8", errors="replace") as f:
-                for i, (a, b, name) in enumerate(parse(f.read(), self.flatten).segments):
-                    yield (file, i, a.real, a.imag, b.real, b.imag, name)
+            with system.open_input_stream(file) as f:
+                found = parse(f.read().decode("utf-8", "replace"), self.flatten)
+            if found.error:
+                yield (file, None, None, None, None, None, None, found.error)
+            for i, (a, b, name) in enumerate(found.segments):
+                yield (file, i, a.real, a.imag, b.real, b.imag, name, None)

@@ -30,6 +30,19 @@ def test_paths_end_where_they_say(d, last):
     assert all(a[1] == b[0] for a, b in zip(segments, segments[1:], strict=False))
 
 
+def test_documents_as_found():
+    full = svg.parse('<svg><path d="M0 0A1 1 0 0 1 1 -1z"/></svg>').segments
+    assert svg.parse('<svg><path d="M0 0a1 1 0 011-1z"/></svg>').segments == full and len(full) == 17
+    d = svg.parse('<svg xmlns:xlink="http://www.w3.org/1999/xlink"><defs><rect id="r" width="2" height="1"/></defs><use xlink:href="#r" x="5" y="6"/><symbol><line x2="9"/></symbol><mask><line x2="9"/></mask></svg>')
+    assert len(d.segments) == 4 and d.segments[0] == (5 + 6j, 7 + 6j, "rect#r")
+    assert svg.parse('<svg><g id="a"><use href="#a"/><line x2="1"/></g></svg>').error is None
+    d = svg.parse('<svg><rect width="10" height="6" rx="2"/></svg>', 8)
+    assert len(d.segments) == 4 + 4 * 8 and d.n_curves == 4 and d.skipped == {}
+    assert svg.parse('<svg><line x2="25.4mm" y2="1in"/></svg>').segments[0][1] == 96 + 96j
+    d = svg.parse("<svg><linearGradient><stop/></linearGradient><filter/><script/><view/><animate/><image/></svg>")
+    assert d.skipped == {"image": 1}
+
+
 def test_arcs_stay_on_their_circle():
     points = [z for a, b, _ in svg.parse('<svg><path d="M10 0A10 10 0 0 1 0 10"/></svg>').segments for z in (a, b)]
     assert all(abs(abs(z) - 10) < 1e-9 for z in points) and all(z.real >= -1e-9 and z.imag >= -1e-9 for z in points)
@@ -75,6 +88,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.svg.bak").write_text(MIXED)
     assert svg.read(spark, str(tmp_path)).count() == 1
     spark.dataSource.register(svg.SvgSource)
-    assert spark.read.format("svg").load(str(tmp_path)).count() == 11
+    (tmp_path / "c.svg").write_text("<svg")
+    rows = spark.read.format("svg").load(str(tmp_path))
+    assert rows.where("error is null").count() == 11 and [r.seg_ix for r in rows.where("error is not null").collect()] == [None]
     head = spark.createDataFrame([("<svg/>",), ("  <?xml?>",), ("a.svg",), ("<html>",)], "t string").select(svg.looks_like_svg(F.col("t")).alias("x"))
     assert [r.x for r in head.collect()] == [True, True, False, False]
