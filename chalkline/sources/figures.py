@@ -33,24 +33,19 @@ def grid(k: int) -> list[Seg]:
 
 
 def star(noded: bool) -> list[Seg]:
-    tip = [(10 * math.cos(math.pi / 2 + 2 * math.pi * i / 5), 10 * math.sin(math.pi / 2 + 2 * math.pi * i / 5)) for i in range(5)]
-    chords = [(*tip[i], *tip[(i + 2) % 5]) for i in range(5)]
-    if not noded:
-        return chords
-    cut: dict[tuple[int, int], tuple[float, float]] = {}
-    for i in range(5):
-        for j in range(i):
-            if {i, (i + 2) % 5} & {j, (j + 2) % 5}:
-                continue
-            ax, ay, bx, by = chords[i]
-            cx, cy, dx, dy = chords[j]
-            u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / ((bx - ax) * (dy - cy) - (by - ay) * (dx - cx))
-            cut[i, j] = cut[j, i] = (ax + u * (bx - ax), ay + u * (by - ay))
-    out = []
-    for i, (ax, ay, bx, by) in enumerate(chords):
-        inner = sorted((p for (k, _), p in cut.items() if k == i), key=lambda p: math.dist(p, (ax, ay)))
-        out += path([(ax, ay), *inner, (bx, by)])
-    return out
+    """The pentagram of radius 10: five chords, or the fifteen pieces into which its inner corners part them.
+
+    The inner corners lie between the tips, on a circle smaller by the square of the golden ratio.
+    """
+
+    def around(radius: float, half_turns: float) -> tuple[float, float]:
+        at = math.pi * (0.5 + half_turns / 5)
+        return radius * math.cos(at), radius * math.sin(at)
+
+    tip = [around(10, 2 * i) for i in range(5)]
+    corner = [around(20 / (3 + math.sqrt(5)), 2 * i + 1) for i in range(5)]
+    way = [[tip[i], corner[i], corner[(i + 1) % 5], tip[(i + 2) % 5]] for i in range(5)]
+    return [s for w in way for s in path(w if noded else [w[0], w[-1]])]
 
 
 def families() -> dict[str, tuple[list[Seg], Truth]]:

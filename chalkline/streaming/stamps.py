@@ -49,15 +49,21 @@ def stamped(events: DataFrame) -> DataFrame:
     return rows.select("path", "seq", F.when(F.col("status") == "CERTIFIED", said).otherwise(refused).alias("stamp")).where("stamp is not null")
 
 
+#: What is said, by whether the drawing is certified, at the scale of the answer before, and with another answer or reason.
+SAID = {(True, True, True): "pieces {pieces}  faces {was} -> {faces}{loose}", (False, True, True): "{token}", (False, False, True): "{token}"}
+SAID |= {(True, *rest): "pieces {pieces}  faces {faces}{loose}" for rest in ((True, False), (False, True), (False, False))}
+
+
 def line(name: str, now: dict, before: dict | None) -> str | None:
-    """What one event says after another; None for silence."""
-    before = before or {}
-    if now["status"] != "CERTIFIED":
-        token = TOKENS.get(now["reason"])
-        return None if token is None or now["reason"] == before.get("reason") else f"{LABEL} {name}  {token}"
-    same = before.get("status") == "CERTIFIED" and before["rho"] == now["rho"] and before["grid_source"] == now["grid_source"] and before["faces"] != now["faces"]
-    faces = f"{before['faces']} -> {now['faces']}" if same else f"{now['faces']}"
-    return f"{LABEL} {name}  pieces {now['pieces']}  faces {faces}" + (f"  dangles {now['dangles']}" if now["dangles"] else "")
+    """What one event says after another, by the table; None for silence."""
+    was, certified = before or {}, now["status"] == "CERTIFIED"
+    answer = "faces" if certified else "reason"
+    scale = all(was.get(k) == now[k] for k in ("status", "rho", "grid_source"))
+    said = SAID.get((certified, scale, was.get(answer) != now[answer]))
+    token = TOKENS.get(now["reason"])
+    if said is None or not (certified or token):
+        return None
+    return f"{LABEL} {name}  " + said.format(**now, was=was.get("faces"), token=token, loose=f"  dangles {now['dangles']}" if now["dangles"] else "")
 
 
 class _Stamps(StatefulProcessor):
