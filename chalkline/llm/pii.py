@@ -123,7 +123,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, found) of every row: found lists (kind, start, end, score). A null text has no spans."""
+    """(doc_id, found) of every row: found lists (kind, start, end, score).
+
+    A null or empty text has no spans; null ids and repeated rows have a row each, an empty table none. Equal texts have
+    equal spans, and other columns are not read.
+    """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_find, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
 
 
