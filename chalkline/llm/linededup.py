@@ -144,11 +144,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     that is all later copies becomes empty, an empty one stays so, and an empty table too. Lines end at line feeds only.
     Columns n_lines and n_deleted are replaced; all others stay, whatever their names.
     """
-    # A stored table has a known size: while it is small, the plan broadcasts it and moves no text; beyond, it sorts and merges.
+    # Merged at every size, so that the plan does not change as the marks grow.
     gone = stored(_repeated(docs, min_words).groupBy(*KEY).agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "id"), "gone")
     # The rows travel as one struct, so that no column of theirs clashes.
     own = docs.select(F.struct(*docs.columns).alias("d")).select("d", F.xxhash64("d.text").alias("th"), _id("d.doc_id").alias("id"))
-    joined = own.join(gone, ["id", "th"], "left")
+    joined = own.join(gone.hint("merge"), ["id", "th"], "left")
     lines = F.split("d.text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     whole = F.col("_gone").isNull()
