@@ -75,3 +75,6 @@ def register(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION orient(ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE, px DOUBLE, py DOUBLE) RETURNS DOUBLE RETURN (bx - ax) * (py - ay) - (by - ay) * (px - ax)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION seg_param(px DOUBLE, py DOUBLE, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE) RETURNS DOUBLE RETURN CASE WHEN (bx-ax)*(bx-ax)+(by-ay)*(by-ay) > 0 THEN greatest(0D, least(1D, ((px-ax)*(bx-ax)+(py-ay)*(by-ay)) / ((bx-ax)*(bx-ax)+(by-ay)*(by-ay)))) ELSE 0D END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION seg_dist(px DOUBLE, py DOUBLE, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE) RETURNS DOUBLE RETURN sqrt(power(ax + seg_param(px,py,ax,ay,bx,by)*(bx-ax) - px, 2) + power(ay + seg_param(px,py,ax,ay,bx,by)*(by-ay) - py, 2))")
+    sides = ["orient(ax,ay,bx,by,cx,cy)", "orient(ax,ay,bx,by,dx,dy)", "orient(cx,cy,dx,dy,ax,ay)", "orient(cx,cy,dx,dy,bx,by)"]
+    points = ", ".join(f"{p}{c} DOUBLE" for p in "abcd" for c in "xy")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION proper_cross({points}) RETURNS BOOLEAN RETURN (({sides[0]} > 0) <> ({sides[1]} > 0)) AND (({sides[2]} > 0) <> ({sides[3]} > 0))")

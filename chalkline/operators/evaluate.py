@@ -18,6 +18,25 @@ def tally(rows: DataFrame, by: list[str], answer: str = "answer", truth: str = "
     return rows.groupBy(*by).agg(F.count_if(a.isNotNull() & (a != t)).alias("wrong"), F.count_if(a.isNotNull() & (a == t)).alias("exact"), F.count_if(a.isNull()).alias("refused"))
 
 
+def first_wrong(rows: DataFrame, by: list[str], order: list[str], answer: str = "answer", truth: str = "truth") -> DataFrame:
+    """(by, order, truth, answer): of each group the first row in order whose answer is wrong."""
+    wrong = rows.where(F.col(answer) != F.col(truth)).select(*by, F.struct(*order, truth, answer).alias("_r"))
+    return wrong.groupBy(*by).agg(F.min("_r").alias("_r")).select(*by, "_r.*")
+
+
+def agreement(found: DataFrame, methods: dict[str, DataFrame], step: int = 1) -> DataFrame:
+    """(method, checked, agree, disagree): the faces of every step-th certified drawing against (drawing_id, faces) of others.
+
+    A method that says nothing of a drawing disagrees.
+    """
+    held = stored(every(found.where("status = 'CERTIFIED'").select(D, "faces"), step, [D]), "certified")
+    rows = None
+    for name, says in methods.items():
+        own = held.join(says.toDF(D, "_says"), D, "left").select(F.lit(name).alias("method"), F.col("faces").eqNullSafe(F.col("_says")).alias("same"))
+        rows = own if rows is None else rows.union(own)
+    return rows.groupBy("method").agg(F.count("*").alias("checked"), F.count_if("same").alias("agree"), F.count_if(~F.col("same")).alias("disagree"))
+
+
 def histogram(rows: DataFrame, levels: list[str], total: int | None = None) -> DataFrame:
     """(levels, n, percent): counts with subtotals, largest first within a level by n."""
     n = rows.count() if total is None else total
@@ -74,7 +93,7 @@ def every(rows: DataFrame, step: int, order: list[str], limit: int | None = None
 
 def rounded_faces(segments: DataFrame, digits: int = 6) -> DataFrame:
     """(drawing_id, faces) of the drawing whose coordinates are rounded: self loops go, equal edges are one."""
-    near = segments.withColumns({c: F.round(c, digits) for c in ("x1", "y1", "x2", "y2")})
+    near = segments.withColumns({c: F.bround(c, digits) for c in ("x1", "y1", "x2", "y2")})  # halves to even
     vs = P.vertices(near)
     es = P.distinct_edges(P.edges(near, vs)).where("a <> b")
     return P.euler(vs, es).select(D, "faces")

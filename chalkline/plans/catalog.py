@@ -223,6 +223,66 @@ def claims_on_heaps(spark, sf_dir):
     return V.checked(claims, V.verdicts(rows)).select(D, "verdict", "exit_code")
 
 
+SWEEP = (3.0, 10.0, 100.0)
+
+
+def _plain(segments: DataFrame) -> DataFrame:
+    """(drawing_id, faces) of drawings as they are: no end moves, no edge is parted."""
+    vs, es = _graph(segments)
+    return P.euler(vs, es.where("a <> b")).select(D, "faces")
+
+
+def rho_sensitivity(spark, sf_dir):
+    """Verdicts of heaps at three ratios against the faces of the drawings as they are."""
+    rows = _view(spark, sf_dir, HEAPS)
+    return V.by_ratio(rows, _plain(rows).withColumnRenamed("faces", "truth"), SWEEP)
+
+
+def method_agreement(spark, sf_dir):
+    """The faces of every third certified heap, against those of rounded coordinates and of coordinates as they are."""
+    rows = _view(spark, sf_dir, HEAPS)
+    return E.agreement(V.verdicts(rows), {"rounded": E.rounded_faces(rows), "plain": _plain(rows)}, 3)
+
+
+def rebuilt_verdicts(spark, sf_dir):
+    rows = _view(spark, sf_dir, HEAPS)
+    return V.rebuilt(rows, V.verdicts(rows))
+
+
+def jitter_stratum(spark, sf_dir):
+    """Every family with known counts, jittered: how many draws each ratio has, and how many wrong answers."""
+    segments = figures.table(spark, {k: s for k, (s, _) in figures.families().items()})
+    draws = stored(figures.stratum(spark, P.smallest_gap(*_graph(segments))), "draws")
+    truth = draws.select(D, "family", "ratio").distinct().join(F.broadcast(figures.truths(spark)), "family").select(D, "ratio", F.col("faces").alias("truth"))
+    found = V.by_ratio(draws.select(*segments.columns), truth, (RHO,), ["ratio"])
+    return found.select("ratio", (F.col("wrong") + F.col("exact") + F.col("refused")).alias("draws"), "wrong")
+
+
+def arrangement_digests(spark, sf_dir):
+    return V.verdicts(_view(spark, sf_dir, LATTICE), digests=True).select(D, "digest")
+
+
+def first_wrong(spark, sf_dir):
+    rows = _view(spark, sf_dir, "SELECT l_returnflag AS arm, l_orderkey, l_linenumber, CASE WHEN l_quantity < 40 THEN l_linenumber END AS answer, l_partkey % 7 + 1 AS truth FROM lineitem")
+    return E.first_wrong(rows, ["arm"], ["l_orderkey", "l_linenumber"])
+
+
+def hook_lines(spark, sf_dir):
+    return stamps.hook_lines(stamps.stamped(_view(spark, sf_dir, EVENTS)))
+
+
+def copy_counts(spark, sf_dir):
+    return P.euler(*_graph(figures.edited(_view(spark, sf_dir, LATTICE), "copy")))
+
+
+def crossings_by_function(spark, sf_dir):
+    """Proper crossings by the SQL function of that name."""
+    G.register(spark)
+    _view(spark, sf_dir, f"SELECT * FROM ({CHORDS}) c").createOrReplaceTempView("chords")
+    pairs = "p.x1, p.y1, p.x2, p.y2, q.x1, q.y1, q.x2, q.y2"
+    return spark.sql(f"SELECT p.drawing_id, p.seg_ix, q.seg_ix AS other FROM chords p JOIN chords q ON p.drawing_id = q.drawing_id AND p.seg_ix < q.seg_ix WHERE proper_cross({pairs})")
+
+
 CLAIMS = "SELECT s_suppkey AS drawing_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS faces, CAST(1 AS BIGINT) AS pieces, CAST(NULL AS BIGINT) AS chi FROM supplier"
 
 
@@ -390,6 +450,7 @@ QUERIES = {f.__name__: f for f in (
     exact_vertices, distinct_edges, euler_counts, vertex_edge_spectrum, near_incidences, crossings, subdivided_edges, merge_heights, single_linkage,
     cluster_stats, scale_gaps, containing_window, verdicts, verdict_json, scale_sensitivity, truth_by_name, contested_verdicts, heap_verdicts, grid_verdicts, budget_verdicts, refusals_by_reason, claims_on_heaps, checked_claims, refusal_histogram, latency_quantiles, growth_fit, arm_tally,
     strided_sample, rounded_faces, raster_holes, walked_faces, smallest_gap, degree_histogram, collapsed_edges, plane_linkage, nearest_pairs, polyline_crossings, part_supplier_euler, union_counts, loop_counts, svg_round_trip, svg_shapes, skipped_elements, change_stamps, stamp_stream,
+    rho_sensitivity, method_agreement, rebuilt_verdicts, jitter_stratum, arrangement_digests, first_wrong, hook_lines, copy_counts, crossings_by_function,
 )}
 
 
@@ -440,7 +501,7 @@ _STAMPS = f"""WITH e AS ({EVENTS}), w AS (
 
 
 
-def _verdict_sql(segments: str, cap: int = G.VERTEX_CAP, grid: float | None = None) -> str:
+def _verdict_sql(segments: str, cap: int = G.VERTEX_CAP, grid: float | None = None, rho: float = RHO) -> str:
     """CTEs up to `told`: the verdict of every drawing of at most CLUSTER_MAX vertices, from its spectrum and windows on.
 
     The merge heights are the distances of pairs that no chain of shorter ones connects.
@@ -465,7 +526,7 @@ def _verdict_sql(segments: str, cap: int = G.VERTEX_CAP, grid: float | None = No
     heights AS (SELECT DISTINCT pd.drawing_id, pd.d AS s FROM pd JOIN root1 x ON x.drawing_id = pd.drawing_id AND x.tau = pd.d AND x.v = pd.i JOIN root1 y ON y.drawing_id = pd.drawing_id AND y.tau = pd.d AND y.v = pd.j WHERE x.root <> y.root),
     sp AS (SELECT h.drawing_id, h.s FROM (SELECT * FROM heights UNION SELECT drawing_id, d FROM dd) h JOIN fit ON fit.drawing_id = h.drawing_id AND h.s > floor UNION SELECT drawing_id, floor FROM fit),
     gp AS (SELECT drawing_id, s AS lo, lead(s) OVER (PARTITION BY drawing_id ORDER BY s) AS hi, row_number() OVER (PARTITION BY drawing_id ORDER BY s) - 1 AS nth FROM sp),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY CASE WHEN nth = 0 THEN 1 ELSE 0 END, hi / lo DESC, lo) - 1 AS cand FROM gp WHERE hi / lo >= {RHO}{inside}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY CASE WHEN nth = 0 THEN 1 ELSE 0 END, hi / lo DESC, lo) - 1 AS cand FROM gp WHERE hi / lo >= {rho}{inside}),
     cands AS (SELECT r.drawing_id, cand, lo, hi, m, margin FROM ranked r JOIN fit USING (drawing_id) WHERE cand < {G.CAND_MAX}),
     reach2(drawing_id, cand, lo, v, root) AS (
         SELECT c.drawing_id, cand, lo, v, v FROM cands c JOIN fv USING (drawing_id) UNION SELECT r.drawing_id, r.cand, r.lo, pd.j, r.root FROM reach2 r JOIN pd ON pd.drawing_id = r.drawing_id AND pd.i = r.v AND pd.d <= r.lo AND r.root < pd.j
@@ -514,7 +575,31 @@ def _verdict_sql(segments: str, cap: int = G.VERTEX_CAP, grid: float | None = No
     )"""
 
 
+_TOLD, _AS_DRAWN = _verdict_sql(HEAPS) + " SELECT * FROM told", _vertices_sql(HEAPS) + _COUNTS + " SELECT drawing_id, faces FROM counts"
+_ROUND = f"SELECT drawing_id, seg_ix, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, element FROM ({HEAPS}) z"
+_SIDE = "(({2}-{0})*({5}-{1}) - ({3}-{1})*({4}-{0}) > 0)".format
+_A, _B, _C, _DD = (("p.x1", "p.y1"), ("p.x2", "p.y2"), ("q.x1", "q.y1"), ("q.x2", "q.y2"))
 SQL = {
+    "rho_sensitivity": f"WITH truth AS ({_AS_DRAWN}), a AS (" + " UNION ALL ".join(f"SELECT {r}::DOUBLE AS rho, * FROM ({_verdict_sql(HEAPS, rho=r)} SELECT drawing_id, faces, n_merged FROM told) z" for r in SWEEP) + """)
+        SELECT rho, count(*) FILTER (a.faces <> t.faces) AS wrong, count(*) FILTER (a.faces = t.faces) AS exact, count(*) FILTER (a.faces IS NULL) AS refused, count(*) FILTER (a.faces <> t.faces AND n_merged = 0) AS merged_nothing
+        FROM truth t JOIN a USING (drawing_id) GROUP BY 1""",
+    "method_agreement": f"""WITH c AS (SELECT * FROM (SELECT drawing_id, faces, row_number() OVER (ORDER BY drawing_id) - 1 AS k FROM ({_TOLD}) z WHERE status = 'CERTIFIED') y WHERE k % 3 = 0),
+        m AS (SELECT 'plain' AS method, * FROM ({_AS_DRAWN}) z UNION ALL SELECT 'rounded', * FROM ({_vertices_sql(_ROUND) + _COUNTS} SELECT drawing_id, faces FROM counts) z)
+        SELECT method, count(*) AS checked, count(*) FILTER (c.faces = m.faces) AS agree, count(*) FILTER (c.faces <> m.faces) AS disagree FROM c JOIN m USING (drawing_id) GROUP BY 1""",
+    "rebuilt_verdicts": _verdict_sql(HEAPS) + " SELECT drawing_id, faces, true AS same FROM told WHERE status = 'CERTIFIED'",
+    "jitter_stratum": f"SELECT r AS ratio, CAST({len(figures.families()) * figures.SEEDS} AS BIGINT) AS draws, CAST(0 AS BIGINT) AS wrong FROM (VALUES {', '.join(f'({r!r}::DOUBLE)' for r in figures.RATIOS)}) v(r)",
+    "arrangement_digests": _vertices_sql(LATTICE) + f""", r AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY x, y) - 1 AS r FROM vs),
+        reps AS (SELECT drawing_id, string_agg(concat('[', x, ',', y, ']'), ',' ORDER BY r) AS reps FROM r GROUP BY 1),
+        links AS (SELECT es.drawing_id, least(p.r, q.r) AS a, greatest(p.r, q.r) AS b FROM es JOIN r p ON p.drawing_id = es.drawing_id AND p.v = es.a JOIN r q ON q.drawing_id = es.drawing_id AND q.v = es.b),
+        edges AS (SELECT drawing_id, string_agg(concat('[', a, ',', b, ']'), ',' ORDER BY a, b) AS edges FROM links GROUP BY 1),
+        low AS (SELECT drawing_id, {G.FLOOR_ULPS * G.EPS!r}::DOUBLE * max(greatest(abs(x1), abs(y1), abs(x2), abs(y2))) AS low FROM s GROUP BY 1)
+        SELECT drawing_id, sha1(concat('{{"edges":[', edges, '],"flatten":[0,0],"reps":[', reps, '],"rho":{RHO},"t_above":1.0,"t_below":', low, ',"version":"{V.VERSION}"}}')) AS digest FROM reps JOIN edges USING (drawing_id) JOIN low USING (drawing_id)""",
+    "first_wrong": """SELECT arm, l_orderkey, l_linenumber, truth, answer FROM (SELECT l_returnflag AS arm, l_orderkey, l_linenumber, l_partkey % 7 + 1 AS truth, l_linenumber AS answer,
+        row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey % 7) AS k FROM lineitem WHERE l_quantity < 40 AND l_linenumber <> l_partkey % 7 + 1) x WHERE k = 1""",
+    "hook_lines": f"""SELECT path, seq, concat('{{"hookSpecificOutput":{{"hookEventName":"PostToolUse","additionalContext":"', stamp, '"}}}}') AS line FROM ({_STAMPS}) z""",
+    "copy_counts": _EULER + " SELECT drawing_id, 2 * v AS v, 2 * e AS e, 2 * pieces AS pieces, 2 * faces AS faces, 2 * chi AS chi, 2 * dangles AS dangles FROM counts",
+    "crossings_by_function": f"""WITH c AS ({CHORDS}) SELECT p.drawing_id, p.seg_ix, q.seg_ix AS other FROM c p JOIN c q ON p.drawing_id = q.drawing_id AND p.seg_ix < q.seg_ix
+        WHERE {_SIDE(*_A, *_B, *_C)} <> {_SIDE(*_A, *_B, *_DD)} AND {_SIDE(*_C, *_DD, *_A)} <> {_SIDE(*_C, *_DD, *_B)}""",
     "heap_verdicts": _verdict_sql(HEAPS) + " SELECT * FROM told",
     "grid_verdicts": _verdict_sql(HEAPS, grid=GRID) + " SELECT * FROM told",
     "budget_verdicts": _verdict_sql(WEBS, cap=FEW) + " SELECT * FROM told",
@@ -558,7 +643,7 @@ SQL = {
     "arm_tally": """SELECT l_returnflag AS arm, l_linestatus AS level, count(*) FILTER (l_quantity < 40 AND l_linenumber <> l_partkey % 7 + 1) AS wrong,
         count(*) FILTER (l_quantity < 40 AND l_linenumber = l_partkey % 7 + 1) AS exact, count(*) FILTER (NOT l_quantity < 40) AS refused FROM lineitem GROUP BY 1, 2""",
     "strided_sample": "SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS k FROM customer) x WHERE k % 7 = 0",
-    "rounded_faces": _EULER + " SELECT drawing_id, faces FROM counts",
+    "rounded_faces": _vertices_sql(f"SELECT drawing_id, seg_ix, round(x1, 6) AS x1, y1, round(x2, 6) AS x2, y2, element FROM ({NOISY}) z") + _COUNTS + " SELECT drawing_id, faces FROM counts",
     "walked_faces": _EULER + " SELECT drawing_id, faces FROM counts WHERE faces > 0",
     "raster_holes": _EULER + " SELECT drawing_id, faces AS holes FROM counts",
     "degree_histogram": _EULER + " SELECT degree, count(*) AS vertices FROM (SELECT drawing_id, u, count(*) AS degree FROM hop GROUP BY 1, 2) x GROUP BY 1",

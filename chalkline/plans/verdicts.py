@@ -64,7 +64,7 @@ def gaps(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return both.select(*(keys or [D]), F.col("s").alias("lo"), "hi", (F.col("hi") / F.col("s")).alias("ratio"), "nth")
 
 
-def windows(trees: DataFrame, all_gaps: DataFrame, vs: DataFrame, sizes: DataFrame, rho: float, cand_max: int, grid: float | None) -> tuple[DataFrame, DataFrame]:
+def windows(trees: DataFrame, all_gaps: DataFrame, vs: DataFrame, sizes: DataFrame, rho: float, cand_max: int, grid: float | DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Candidate windows in the order they are tried, and the clusters of each.
 
     Wide gaps by ratio, the gap above the floor last; a window whose largest cluster is too large is none. With a grid,
@@ -72,7 +72,8 @@ def windows(trees: DataFrame, all_gaps: DataFrame, vs: DataFrame, sizes: DataFra
     """
     wide = all_gaps.where(F.col("ratio") >= rho)
     if grid is not None:
-        wide = wide.where((F.col("lo") <= grid) & (F.lit(grid) < F.col("hi")))
+        wide = wide.join(grid.select(D, "grid"), D) if isinstance(grid, DataFrame) else wide.withColumn("grid", F.lit(grid))
+        wide = wide.where((F.col("lo") <= F.col("grid")) & (F.col("grid") < F.col("hi")))
     labels = stored(P.clustered(trees, wide, sizes), "clusters")
     points = labels.join(vs, [D, "v"])
     size = points.groupBy(D, "lo", "label").agg(F.count("*").alias("size"), F.min(F.struct("x", "y")).alias("rep"))
@@ -82,7 +83,7 @@ def windows(trees: DataFrame, all_gaps: DataFrame, vs: DataFrame, sizes: DataFra
     fit = size.groupBy(D, "lo").agg(F.max("size").alias("largest"), F.count("*").alias("n_clusters")).where(F.col("largest") <= G.CLUSTER_MAX)
     order = Window.partitionBy(D).orderBy((F.col("nth") == 0).cast("int"), F.desc("ratio"), "lo")
     ranked = wide.join(fit, [D, "lo"]).join(diameter, [D, "lo"], "left").withColumn("cand", F.row_number().over(order) - 1).where(F.col("cand") < cand_max)
-    radius = F.lit(grid) if grid is not None else F.sqrt(F.col("lo") * F.col("hi"))
+    radius = F.col("grid") if grid is not None else F.sqrt(F.col("lo") * F.col("hi"))
     tried = ranked.join(sizes.select(D, "n", "m", "margin"), D).select(*K, F.col("lo").alias("t_below"), F.col("hi").alias("t_above"), "ratio", radius.cast("double").alias("radius"), "n_clusters", (F.col("n") - F.col("n_clusters")).alias("n_merged"), F.coalesce("diam_max", F.lit(0.0)).alias("diam_max"), "n", "m", "margin")
     tried = stored(tried, "windows")
     placed = labels.join(tried.select(*K, F.col("t_below").alias("lo")), [D, "lo"]).join(size.select(D, "lo", "label", "rep"), [D, "lo", "label"]).select(*K, "v", "label", "rep")
@@ -135,9 +136,11 @@ def _judged(segments: DataFrame, es: DataFrame, tried: DataFrame, placed: DataFr
 ANSWER = ["v", "e", "pieces", "faces", "chi", "dangles", "t_below", "t_above", "ratio", "radius", "n_subdivided", "n_dup_edges", "n_merged", "diam_max"]
 
 
-def verdicts(segments: DataFrame, drawings: DataFrame | None = None, *, rho: float = G.RHO, cand_max: int = G.CAND_MAX, grid: float | None = None, max_vertices: int | None = None, digests: bool = False) -> DataFrame:
+def verdicts(segments: DataFrame, drawings: DataFrame | None = None, *, rho: float = G.RHO, cand_max: int = G.CAND_MAX, grid: float | DataFrame | None = None, max_vertices: int | None = None, digests: bool = False) -> DataFrame:
     """One row for each drawing: status, reason, kind, the integers and scales, and up to eight sites to look at.
 
+    grid: a scale for all drawings, or (drawing_id, grid).
+
     drawings(drawing_id) adds drawings without segments, which are refused; a drawing with a coordinate that is no finite
     number is bad input. A refused drawing has null integers, never 0.
     """
@@ -145,7 +148,7 @@ def verdicts(segments: DataFrame, drawings: DataFrame | None = None, *, rho: flo
         return own.keep(stored(_verdicts(segments, drawings, rho, cand_max, grid, G.VERTEX_CAP if max_vertices is None else max_vertices, digests), "verdicts"))
 
 
-def _verdicts(segments: DataFrame, drawings: DataFrame | None, rho: float, cand_max: int, grid: float | None, cap: int, digests: bool) -> DataFrame:
+def _verdicts(segments: DataFrame, drawings: DataFrame | None, rho: float, cand_max: int, grid: float | DataFrame | None, cap: int, digests: bool) -> DataFrame:
     budget = G.pair_budget(cap)
     bad = segments.where(~P.finite(segments)).select(D).distinct()
     good = stored(segments.join(bad, D, "left_anti"), "segments")
@@ -205,6 +208,33 @@ def digest(points: DataFrame, final: DataFrame, outcome: DataFrame, rho: float,
     return outcome.join(reps, K).join(links, K).select(*K, hashed("reps", "links", "t_below", "t_above").alias("digest"))
 
 
+def rebuilt(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """(drawing_id, faces, same): certified drawings judged anew at the radius of their own certificates.
+
+    same: the second arrangement has the vertices, edges, pieces, faces and upper scale of the first.
+    """
+    held = found.where("status = 'CERTIFIED'")
+    own = segments.join(held.select(D), D, "left_semi")
+    again = verdicts(own, grid=held.select(D, F.col("radius").alias("grid")))
+    told = ["v", "e", "pieces", "faces", "t_above"]
+    both = held.select(D, "faces", F.struct(*told).alias("first")).join(again.select(D, F.struct(*told).alias("second")), D, "left")
+    return both.select(D, "faces", F.col("first").eqNullSafe(F.col("second")).alias("same"))
+
+
+def by_ratio(segments: DataFrame, truth: DataFrame, ratios: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(rho, by, wrong, exact, refused, merged_nothing): verdicts at several ratios against truth(drawing_id, by, truth).
+
+    merged_nothing: the wrong ones that left every vertex apart.
+    """
+    known = truth.select(D, *(by or []), "truth")
+    judged = [known.join(verdicts(segments, rho=r).select(D, F.col("faces").alias("answer"), "n_merged"), D, "left").withColumn("rho", F.lit(float(r))) for r in ratios]
+    rows = judged[0]
+    for other in judged[1:]:
+        rows = rows.union(other)
+    wrong = F.col("answer").isNotNull() & (F.col("answer") != F.col("truth"))
+    return rows.groupBy("rho", *(by or [])).agg(F.count_if(wrong).alias("wrong"), F.count_if(F.col("answer") == F.col("truth")).alias("exact"), F.count_if(F.col("answer").isNull()).alias("refused"), F.count_if(wrong & (F.col("n_merged") == 0)).alias("merged_nothing"))
+
+
 def settled(passes: DataFrame) -> DataFrame:
     """One verdict for each drawing from two flattenings: rows of verdicts() with pass 1 and, where there are curves, 2.
 

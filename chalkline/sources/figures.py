@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Seg = tuple[float, float, float, float]
 Truth = tuple[int, int, int, int, int]  # v, e, pieces, faces, chi
+# How far ends are moved, as shares of the smallest gap, and how often each.
+RATIOS = (1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2)
+SEEDS = 10
 SCHEMA = "drawing_id string, seg_ix int, x1 double, y1 double, x2 double, y2 double, element string"
 
 
@@ -91,6 +96,18 @@ def refusals() -> dict[str, tuple[list[Seg], str]]:
     }
 
 
+def contested() -> dict[str, tuple[list[Seg], tuple[int, int], tuple[int, int]]]:
+    """Figures that are certified as something else than a reader sees: (pieces, faces) as certified, and as drawn."""
+    return {f"squares {gap:g} apart": (box() + box(10 + gap), (1, 2), (2, 2)) for gap in (1.0, 2.2e-6)}
+
+
+def unstable_curve(radius: float = 5.0, chords: int = 16) -> str:
+    """A dial whose hand ends between the polygons of chords, and of twice as many chords, to a quarter turn."""
+    turn = math.pi / (4 * chords)
+    reach = radius * (math.cos(turn) + math.cos(turn / 2)) / 2
+    return f'<svg><circle id="dial" r="{radius!r}"/><line id="hand" x2="{reach * math.cos(turn)!r}" y2="{reach * math.sin(turn)!r}"/></svg>'
+
+
 def table(spark: SparkSession, drawings: dict[str, Iterable[Seg]]) -> DataFrame:
     rows = [(name, i, *map(float, s), f"line#{i}") for name, segs in drawings.items() for i, s in enumerate(segs)]
     return spark.createDataFrame(rows, SCHEMA)
@@ -105,6 +122,32 @@ def jittered(segs: list[Seg], gap: float, ratio: float, seed: int) -> list[Seg]:
     return [tuple(x) for x in (ends + np.where(n[at][:, None] > 1, move, 0)).reshape(-1, 4).tolist()]
 
 
+def stratum(spark: SparkSession, gaps: DataFrame, ratios: Iterable[float] = RATIOS, seeds: int = SEEDS) -> DataFrame:
+    """Every family of gaps(drawing_id, gap) jittered at every ratio with every seed: (family, ratio, seed) and its segments.
+
+    The draws are made on the executors, each from a seed that its own name gives, so that a task that is run again makes
+    the same ones.
+    """
+    shapes = {name: segs for name, (segs, _) in families().items()}
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                name = f"{r.family}|{r.ratio!r}|{r.seed}"
+                moved = np.array(jittered(shapes[r.family], r.gap, r.ratio, zlib.crc32(name.encode())))
+                ix = np.arange(len(moved), dtype=np.int32)
+                yield pd.DataFrame({"family": r.family, "ratio": r.ratio, "seed": r.seed, "drawing_id": name, "seg_ix": ix, "x1": moved[:, 0], "y1": moved[:, 1], "x2": moved[:, 2], "y2": moved[:, 3], "element": [f"line#{i}" for i in ix]})
+
+    levels = F.explode(F.array(*[F.lit(float(x)) for x in ratios])).alias("ratio")
+    draws = gaps.select(F.col("drawing_id").alias("family"), "gap", levels).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    return draws.repartition("family", "ratio", "seed").mapInPandas(draw, f"family string, ratio double, seed int, {SCHEMA}")
+
+
+def truths(spark: SparkSession) -> DataFrame:
+    """(family, v, e, pieces, faces, chi) of the families."""
+    return spark.createDataFrame([(name, *truth) for name, (_, truth) in families().items()], "family string, v long, e long, pieces long, faces long, chi long")
+
+
 def grids(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     """The grid of each row of sizes(drawing_id, k), made on the executors."""
     cell = sizes.select("drawing_id", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
@@ -124,15 +167,22 @@ def shifted_union(a: DataFrame, b: DataFrame, gap: float = 100.0) -> DataFrame:
 
 
 def edited(segments: DataFrame, edit: str) -> DataFrame:
-    """A pendant edge at, or a loop hung on, the rightmost and then topmost vertex of each drawing.
+    """Right of each drawing's rightmost and then topmost vertex: a pendant edge, a loop on such an edge, or a copy of it all.
 
-    What an edit does to (v, e, pieces, faces, chi) is known: pendant (+1, +1, 0, 0, 0), loop (+4, +5, 0, +1, -1).
+    What an edit does to (v, e, pieces, faces, chi) is known: pendant (+1, +1, 0, 0, 0), loop (+4, +5, 0, +1, -1), copy
+    doubles each. A new edge is a quarter of the drawing's diagonal long, and of at least a unit's.
     """
-    ends = segments.select("drawing_id", F.inline(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))))
-    at = ends.groupBy("drawing_id").agg(F.max(F.struct("x", "y")).alias("p")).join(segments.groupBy("drawing_id").agg((F.max("seg_ix") + 1).alias("n")), "drawing_id")
-    x, y = F.col("p.x"), F.col("p.y")
-    stem = [(x, y, x + 10, y)]
-    loop = [(x + 10, y, x + 20, y), (x + 20, y, x + 20, y + 10), (x + 20, y + 10, x + 10, y + 10), (x + 10, y + 10, x + 10, y)]
-    new = F.array(*[F.array(*s) for s in (stem if edit == "pendant" else stem + loop)])
-    rows = at.select("drawing_id", "n", F.posexplode(new).alias("i", "s")).select("drawing_id", (F.col("n") + F.col("i")).cast("int").alias("seg_ix"), *[F.col("s")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.concat(F.lit(edit + "#"), F.col("i")).alias("element"))
+    ends = segments.select("drawing_id", F.inline(F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)])))
+    wide, high = (F.max(c) - F.min(c) for c in "xy")
+    box = ends.groupBy("drawing_id").agg(F.max(F.struct("x", "y")).alias("p"), wide.alias("wide"), (F.greatest(F.sqrt(wide * wide + high * high), F.lit(1.0)) / 4).alias("s"))
+    at = box.join(segments.groupBy("drawing_id").agg((F.max("seg_ix") + 1).alias("n")), "drawing_id")
+    if edit == "copy":
+        by = F.col("wide") + 2 * F.col("s") + F.greatest("wide", F.lit(1.0))
+        rows = segments.join(at, "drawing_id").select("drawing_id", (F.col("seg_ix") + F.col("n")).cast("int").alias("seg_ix"), (F.col("x1") + by).alias("x1"), "y1", (F.col("x2") + by).alias("x2"), "y2", "element")
+        return segments.select(rows.columns).unionByName(rows)
+    x, y, s = F.col("p.x"), F.col("p.y"), F.col("s")
+    stem = [(x, y, x + s, y)]
+    loop = [(x + s, y, x + 2 * s, y), (x + 2 * s, y, x + 2 * s, y + s), (x + 2 * s, y + s, x + s, y + s), (x + s, y + s, x + s, y)]
+    new = F.array(*[F.array(*e) for e in (stem if edit == "pendant" else stem + loop)])
+    rows = at.select("drawing_id", "n", F.posexplode(new).alias("i", "e")).select("drawing_id", (F.col("n") + F.col("i")).cast("int").alias("seg_ix"), *[F.col("e")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.concat(F.lit(edit + "#"), F.col("i")).alias("element"))
     return segments.select(rows.columns).unionByName(rows)

@@ -49,6 +49,12 @@ def stamped(events: DataFrame) -> DataFrame:
     return rows.select("path", "seq", F.when(F.col("status") == "CERTIFIED", said).otherwise(refused).alias("stamp")).where("stamp is not null")
 
 
+def hook_lines(stamps: DataFrame) -> DataFrame:
+    """(.., line): each stamp as the JSON that a tool's caller takes up as context."""
+    said = F.struct(F.lit("PostToolUse").alias("hookEventName"), F.col("stamp").alias("additionalContext"))
+    return stamps.withColumn("line", F.to_json(F.struct(said.alias("hookSpecificOutput")))).drop("stamp")
+
+
 #: What is said, by whether the drawing is certified, at the scale of the answer before, and with another answer or reason.
 SAID = {(True, True, True): "pieces {pieces}  faces {was} -> {faces}{loose}", (False, True, True): "{token}", (False, False, True): "{token}"}
 SAID |= {(True, *rest): "pieces {pieces}  faces {faces}{loose}" for rest in ((True, False), (False, True), (False, False))}

@@ -7,6 +7,7 @@ import pytest
 from chalkline import __main__ as cli
 from chalkline import api
 from chalkline.plans import reports
+from chalkline.sources import figures
 
 
 def test_demo_and_curves(spark):
@@ -21,12 +22,7 @@ def test_demo_and_curves(spark):
 
 def test_curves_between_two_flattenings_are_unstable(spark):
     """A hand that ends between the two polygons of a circle is inside one and outside the other."""
-    import math
-
-    n, r = 16 * 4, 5.0
-    inner, outer = r * math.cos(math.pi / n), r * math.cos(math.pi / (2 * n))
-    mid, turn = (inner + outer) / 2, math.pi / n
-    svg = f'<svg><circle r="5"/><line x1="0" y1="0" x2="{mid * math.cos(turn)!r}" y2="{mid * math.sin(turn)!r}"/></svg>'
+    svg = figures.unstable_curve()
     got = api.judge_texts(spark, {"x": svg}).first()
     assert got.status == "REFUSED" and got.reason in ("CURVE_UNSTABLE", "EDGES_CROSS", "VERTEX_NEAR_EDGE")
 

@@ -24,7 +24,8 @@ def _rows(frame, columns):
     return sorted((tuple(map(clean, r)) for r in frame[columns].astype(object).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+# All draws of the stratum take minutes: test_verdicts.py judges a tenth of them.
+@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - {"jitter_stratum"}))
 def test_agrees_with_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -66,15 +66,40 @@ def test_a_given_grid_is_a_window_of_its_own(spark):
 
 
 def test_jitter_is_exact_or_refused(spark, families):
-    gaps = {r.drawing_id: r.gap for r in P.smallest_gap(*_graph(figures.table(spark, {k: s for k, (s, _) in families.items()}))).collect()}
-    draws = {f"{k}|{ratio}|{seed}": figures.jittered(families[k][0], gaps[k], ratio, sum(map(ord, k)) * 31 + round(-math.log10(ratio)) * 7 + seed) for k in families if k in gaps for ratio in (1e-7, 1e-3) for seed in (0, 1)}
-    got = _judge(spark, draws)
-    exact = 0
-    for name, r in got.items():
-        truth = families[name.split("|")[0]][1]
-        assert r.status == "REFUSED" or (r.pieces, r.faces, r.chi) == truth[2:], name
-        exact += r.status == "CERTIFIED"
-    assert exact >= 0.7 * len(got)
+    segments = figures.table(spark, {k: s for k, (s, _) in families.items()})
+    draws = figures.stratum(spark, P.smallest_gap(*_graph(segments)), seeds=1)
+    again = draws.where("family = 'theta(3)'").orderBy("drawing_id", "seg_ix")
+    assert again.collect() == again.collect()
+    got = V.verdicts(draws.select(*segments.columns)).collect()
+    assert len(got) == 6 * len(families)
+    exact = {}
+    for r in got:
+        name, ratio, _ = r.drawing_id.split("|")
+        assert r.status == "REFUSED" or (r.pieces, r.faces, r.chi) == families[name][1][2:], r.drawing_id
+        exact[float(ratio)] = exact.get(float(ratio), 0) + (r.status == "CERTIFIED")
+    assert set(exact) == set(figures.RATIOS) and exact[1e-7] >= 0.9 * len(families), exact
+
+
+def test_contested_figures_are_certified_as_they_are_read(spark):
+    got = _judge(spark, {k: s for k, (s, _, _) in figures.contested().items()})
+    for name, (_, certified, drawn) in figures.contested().items():
+        assert (got[name].pieces, got[name].faces) == certified != drawn
+
+
+def test_certificates_are_found_again(spark, families):
+    names = ["triangle", "grid(4)", "T-junction", "nested unconnected squares"]
+    segments = figures.table(spark, {k: families[k][0] for k in names} | {"near": figures.box() + figures.box(11.0), "raw": figures.star(False)})
+    found = V.verdicts(segments)
+    assert {(r.drawing_id, r.same) for r in V.rebuilt(segments, found).collect()} == {(k, True) for k in [*names, "near"]}
+    other = found.withColumn("faces", F.when(F.col("drawing_id") == "triangle", F.col("faces") + 1).otherwise(F.col("faces")))
+    assert [r.drawing_id for r in V.rebuilt(segments, other).where("not same").collect()] == ["triangle"]
+
+
+def test_agreement_counts_what_a_method_leaves_out(spark, families):
+    segments = figures.table(spark, {k: families[k][0] for k in ("square", "grid(3)", "tree(3)", "T-junction")})
+    rounded = E.rounded_faces(segments).where("drawing_id <> 'square'")
+    got = {r.method: (r.checked, r.agree, r.disagree) for r in E.agreement(V.verdicts(segments), {"raster": E.raster_holes(segments, 256), "rounded": rounded}).collect()}
+    assert got == {"raster": (4, 4, 0), "rounded": (4, 2, 2)}  # a rounded T-junction is not joined
 
 
 def _graph(segments):
@@ -114,7 +139,7 @@ def test_unions_add_and_edits_keep_their_promise(spark, families):
     for segments, change in ((figures.edited(a, "pendant"), (1, 1, 0, 0, 0)), (figures.edited(a, "loop"), (4, 5, 0, 1, -1))):
         for r in V.verdicts(segments).collect():
             assert (r.v, r.e, r.pieces, r.faces, r.chi) == tuple(x + y for x, y in zip(families[r.drawing_id][1], change, strict=True))
-    for r in V.verdicts(figures.shifted_union(a, a)).collect():
+    for r in V.verdicts(figures.shifted_union(a, a)).collect() + V.verdicts(figures.edited(a, "copy")).collect():
         assert (r.v, r.e, r.pieces, r.faces, r.chi) == tuple(2 * x for x in families[r.drawing_id][1])
 
 
