@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,28 +103,58 @@ def rounded_faces(segments: DataFrame, digits: int = 6) -> DataFrame:
     return P.euler(vs, es).select(D, "faces")
 
 
-def ink(segments: DataFrame, px: int) -> DataFrame:
-    """(drawing_id, x, y): the pixels of the drawing scaled to a square of px, by Bresenham's lines."""
-    box = segments.groupBy(D).agg(F.min(F.least("x1", "x2")).alias("lx"), F.min(F.least("y1", "y2")).alias("ly"), F.max(F.greatest("x1", "x2")).alias("hx"), F.max(F.greatest("y1", "y2")).alias("hy"))
-    scale = F.lit(px - 6) / F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"), F.lit(1e-12))
-    placed = segments.join(box, D).select(D, *[(F.rint((F.col(f"{c}{i}") - F.col(f"l{c}")) * scale) + 3).cast("long").alias(f"{c}{i}") for i in (1, 2) for c in "xy"])
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    n = F.greatest(F.abs(dx), F.abs(dy))
-    steps = placed.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
-    # The minor axis moves by the nearest whole number of pixels, halves away from the start.
-    at = lambda c, d: F.when(F.col("n") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}1") + F.signum(d).cast("long") * F.floor((2 * F.abs(d) * F.col("k") + F.col("n")) / (2 * F.greatest(F.col("n"), F.lit(1)))))
-    return steps.select(D, at("x", dx).cast("long").alias("x"), at("y", dy).cast("long").alias("y")).distinct()
+def _holes(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, px: int, owner: np.ndarray) -> int:
+    """Holes of one drawing as pixels that also touch at corners: pieces less the Euler number.
+
+    owner: a square of px + 2 as a flat array, all -1, and left so. A line's pixels hang together, so pieces are those of
+    lines whose pixels touch; the Euler number is that of the closed squares: corners - sides + pixels.
+    """
+    wide = px + 2
+    scale = (px - 6) / max(max(x1.max(), x2.max()) - (lx := min(x1.min(), x2.min())), max(y1.max(), y2.max()) - (ly := min(y1.min(), y2.min())), 1e-12)
+    ends = np.stack([np.rint((c - low) * scale) for c, low in ((x1, lx), (y1, ly), (x2, lx), (y2, ly))]).astype(np.int64) + 3
+    code = ((ends[0] * wide + ends[1]) * wide + ends[2]) * wide + ends[3]
+    ends = ends[:, np.unique(code, return_index=True)[1]]
+    dx, dy = ends[2] - ends[0], ends[3] - ends[1]
+    n = np.maximum(np.abs(dx), np.abs(dy))
+    marked, links = [], []
+    for part in P.chunks(n + 1):
+        own, k = P.spread(np.zeros(part.stop - part.start, np.int64), n[part] + 1)
+        own += part.start
+        # The minor axis moves by the nearest whole number of pixels, halves away from the start.
+        at = lambda c, d: ends[c][own] + np.sign(d)[own] * ((2 * np.abs(d)[own] * k + n[own]) // (2 * np.maximum(n[own], 1)))  # noqa: B023, E731
+        dots = at(0, dx) * wide + at(1, dy)
+        was = owner[dots]
+        links.append(np.stack([own, was], axis=1)[(was >= 0) & (was != own)])
+        owner[dots] = own
+        now = owner[dots]  # the last line that has the pixel
+        links.append(np.stack([own, now], axis=1)[now != own])
+        marked.append(dots[now == own])
+    dots = np.concatenate(marked)
+    dots = np.unique(dots[owner[dots] >= 0])
+    mine, sides = owner[dots], 4 * len(dots)
+    for step in (1, wide - 1, wide, wide + 1):
+        other = owner[dots + step]
+        sides -= int((other >= 0).sum()) if step in (1, wide) else 0
+        links.append(np.stack([mine, other], axis=1)[(other >= 0) & (other != mine)])
+    corners = len(np.unique(np.concatenate([dots, dots + 1, dots + wide, dots + wide + 1])))
+    owner[dots] = -1
+    root = P.roots_of(len(n), np.concatenate(links))
+    return int((root == np.arange(len(n))).sum()) - (corners - sides + len(dots))
 
 
 def raster_holes(segments: DataFrame, px: int = 512) -> DataFrame:
-    """(drawing_id, holes) of the drawing as pixels that also touch at corners: pieces less the Euler number.
+    """(drawing_id, holes) of the drawing scaled to a square of px, as pixels of Bresenham's lines. A segment with a coordinate
+    that is no finite number leaves no pixel.
 
-    The Euler number comes from counts of 2 x 2 pixel patterns: (one pixel - three pixels - 2 * diagonals) / 4.
+    A task holds one drawing's segments and one square of pixels; no pixel is moved.
     """
-    dots = ink(segments, px).withColumn("v", (F.col("x") * (px + 2) + F.col("y")).cast("int"))
-    quads = dots.select(D, F.inline(F.array(*[F.struct((F.col("x") + i).alias("qx"), (F.col("y") + j).alias("qy"), F.lit(1 << (2 * i + j)).alias("bit")) for i in (0, 1) for j in (0, 1)]))).groupBy(D, "qx", "qy").agg(F.sum("bit").alias("q"))
-    count = lambda kinds: F.count_if(F.col("q").isin(*kinds))
-    euler = quads.groupBy(D).agg(((count((1, 2, 4, 8)) - count((7, 11, 13, 14)) - 2 * count((6, 9))) / 4).cast("long").alias("euler"))
-    near = [F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
-    links = dots.select(D, F.col("v").alias("a"), F.inline(F.array(*near))).join(dots.select(D, "x", "y", F.col("v").alias("b")), [D, "x", "y"]).select(D, "a", "b")
-    return euler.join(P.component_counts(dots, links), D).select(D, (F.col("pieces") - F.col("euler")).alias("holes"))
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = np.full((px + 2) ** 2, -1, np.int64)
+        for rows, new in P.whole_groups(batches):
+            ends = [rows.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")]
+            found = [_holes(*(c[i:j] for c in ends), px, owner) for i, j in zip(new, np.append(new[1:], rows.num_rows), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(D).take(pa.array(new)).combine_chunks(), pa.array(found, pa.int64())], [D, "holes"])
+
+    own = segments.where(P.finite(segments)).select(D, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return P.numbered(own, [D]).mapInArrow(holes, f"{D} {dict(segments.dtypes)[D]}, holes long")
