@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chalkline.operators import judge as J
 from chalkline.operators import planar as P
 from chalkline.plans.scratch import stored
 
@@ -98,9 +99,7 @@ def every(rows: DataFrame, step: int, order: list[str], limit: int | None = None
 def rounded_faces(segments: DataFrame, digits: int = 6) -> DataFrame:
     """(drawing_id, faces) of the drawing whose coordinates are rounded: self loops go, equal edges are one."""
     near = segments.withColumns({c: F.bround(c, digits) for c in ("x1", "y1", "x2", "y2")})  # halves to even
-    vs = P.vertices(near)
-    es = P.distinct_edges(P.edges(near, vs)).where("a <> b")
-    return P.euler(vs, es).select(D, "faces")
+    return J.plain_faces(near)
 
 
 def _holes(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, px: int, owner: np.ndarray) -> int:
