@@ -131,3 +131,19 @@ def test_quality_reads_whole_words_and_no_held_out_label(spark):
     flipped = labels.withColumn("quality", F.when(fold(F.col("doc_id"), 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     one, two = quality.fit(docs, labels), quality.fit(docs, flipped)
     assert np.array_equal(one.weights, two.weights) and one.curve == two.curve
+
+
+def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
+    """The model's counts come from all labelled rows, also from more than the 6,000 of a class that a sample had."""
+    docs = spark.range(17000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    seen, own = {}, toxicity.stored
+
+    def stored(df, label, rows=None):
+        out = own(df, label, rows)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", stored)
+    toxicity.fit(docs, labels)
+    assert seen["toxic"] == docs.where(fold(F.col("doc_id"), 5) != 0).count() > 12000
