@@ -53,7 +53,7 @@ def written(monkeypatch):
     return labels
 
 
-# Each table is a plan and jobs that the driver holds: there were 17 for one call of verdicts().
+# Each table is a plan and jobs that the driver holds: there were 15 for one call of verdicts().
 @pytest.mark.parametrize(("name", "most"), [("verdicts", 1), ("checked_claims", 1), ("verdict_json", 1), ("arrangement_digests", 1), ("grid_verdicts", 1), ("budget_verdicts", 1), ("heap_verdicts", 1), ("refusals_by_reason", 1), ("claims_on_heaps", 1), ("contested_verdicts", 1), ("rebuilt_verdicts", 2), ("rho_sensitivity", 3)])
 def test_verdicts_write_few_tables(spark, written, name, most):
     catalog.QUERIES[name](spark, SF).collect()
