@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.llm import langid, quality, toxicity
-from chalkline.llm.common import fold
+from chalkline.llm.common import fold, likely
 
 
 def _corpus(seed, n=240):
@@ -147,3 +148,49 @@ def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "stored", stored)
     toxicity.fit(docs, labels)
     assert seen["toxic"] == docs.where(fold(F.col("doc_id"), 5) != 0).count() > 12000
+
+
+def test_toxicity_counts_in_turns(spark, monkeypatch):
+    """Word pairs are written a part at a time, each part deleted before the next: no table holds them all."""
+    rows, marks = _corpus(3)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    sizes, live, own, gone = [], [], toxicity.stored, toxicity.dropped
+
+    def stored(df, label, rows=None):
+        out = own(df, label, rows)
+        if label == "pairs":
+            assert not live
+            live.append(out._chalkline_path)
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", stored)
+    monkeypatch.setattr(toxicity, "dropped", lambda df: (live.remove(df._chalkline_path), gone(df)))
+    toxicity.fit(docs, labels)
+    assert not live and len(sizes) == toxicity.TURNS and max(sizes) < 0.8 * sum(sizes)
+
+
+def test_few_texts_move_to_meet_their_labels(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    ids = spark.range(0, 20_000, 40).select(F.col("id").alias("doc_id"))
+    met = likely(docs, ids)
+    assert met.columns == docs.columns and met.join(ids, "doc_id").count() == 500 and met.count() < 5_000
+    assert likely(docs, ids.limit(0)).count() == 0
+    assert likely(docs, ids.select(F.col("doc_id").cast("string"))).count() == 20_000  # hashes of another type can't be compared
+    nulls = docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert likely(nulls, ids).join(ids, "doc_id").count() == 0
+
+
+def test_the_shuffles_of_a_stored_table_go_with_its_writing(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, was = shuffles(), spark.conf.get(name)
+    toxicity.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(name) == was
