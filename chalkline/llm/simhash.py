@@ -8,8 +8,8 @@ fingerprints that differ there agree under the mask. With 2^(r+1) - 1 tables no
 Inside a bucket pairs are compared in blocks of bounded size, and a block returns a spanning forest of its links, never
 all its pairs. A bucket of any size is dealt as pairs of blocks, so none lands in one task and none is cut.
 
-similar_documents() finds sets of shingles by their Jaccard similarity instead: banded min-hashes bring sets together
-wherever their texts differ, and the sets themselves decide what links.
+similar_documents() links texts whose fingerprints are within the radius, found as above, if their sets of shingles confirm
+it; beside these it links sets of a Jaccard similarity: banded min-hashes bring them together wherever their texts differ.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .graph import components
 SEED = 42
 BLOCK = 1024
 BANDS, BAND_ROWS = 30, 5  # sets of similarity 0.8 share no band with a chance of (1 - 0.8 ** 5) ** 30 = 7e-6
+CONFIRMED = 0.5  # least Jaccard similarity of texts whose fingerprints link: one phrase that both repeat often makes fingerprints alike too
 SLACK = 5.0  # deviations by which the share of equal min-hashes may fall short of the similarity before the sets are compared
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -92,28 +93,32 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, same, keys, signature) of rows (doc_id, text, th): equal sets have the same `same`; a set without
-    shingles has no keys."""
+def _signed(batches: Iterator[pa.RecordBatch], k: int, print_k: int | None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, same, keys, signature, fp) of rows (doc_id, text, th): equal sets have the same `same`; a set without
+    shingles has no keys. fp is null without print_k, the words of a fingerprint's shingles."""
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
-            part, same, keys, signature = batch.slice(start, BATCH), [], [], []
+            part, same, keys, signature, prints = batch.slice(start, BATCH), [], [], [], []
             for t in part.column(1):
-                own = shingle_set(t.as_py(), k)
+                text = t.as_py()
+                own = shingle_set(text, k)
                 least = min_hashes(own)
                 same.append(xxhash.xxh3_128_digest(own.tobytes()))
                 bands = least.reshape(BANDS, BAND_ROWS) if len(own) else least[:0].reshape(0, BAND_ROWS)
                 keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in bands], np.uint64).view(np.int64).tolist())
                 signature.append((least & 0xFF).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["doc_id", "th", "same", "keys", "signature"])
+                prints.append(None if print_k is None else int(np.uint64(fingerprint(text, print_k)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary()), pa.array(prints, pa.int64())], ["doc_id", "th", "same", "keys", "signature", "fp"])
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(key, rep, shingles) of rows (key, rep, text)."""
+    """(key, rep, shingles) of rows (key, rep, text, prints): the number of fingerprints, these, and the set."""
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
             part = batch.slice(start, BATCH)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), k).tobytes() for t in part.column(2)], pa.binary())], ["key", "rep", "shingles"])
+            prints = [np.array(x, np.int64) for x in part.column(3).to_pylist()]
+            found = [np.int64(len(p)).tobytes() + p.tobytes() + shingle_set(t.as_py(), k).tobytes() for t, p in zip(part.column(2), prints, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["key", "rep", "shingles"])
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -161,19 +166,29 @@ def _alike(block: np.ndarray, similarity: float):
     return lambda i, others: (rows[others] == rows[i]).sum(axis=1) >= least
 
 
-def _shared_enough(block: np.ndarray, similarity: float):
-    """block: sets of shingles; close are those that have the Jaccard similarity."""
-    size = np.array([len(x) // 8 for x in block], np.int64)
-    _, name = np.unique(np.frombuffer(b"".join(block.tolist()), np.uint64), return_inverse=True)
+def _shared_enough(block: np.ndarray, bound: tuple[float, int]):
+    """block: fingerprints and sets of shingles, as _as_sets() writes them; close are sets of a Jaccard similarity, and those
+    of CONFIRMED similarity that have fingerprints within a radius."""
+    similarity, radius = bound
+    rows = [np.frombuffer(x, np.uint64) for x in block]
+    n_prints = np.array([x[0] for x in rows], np.int64)
+    prints, owner = np.concatenate([x[1 : n + 1] for x, n in zip(rows, n_prints.tolist(), strict=True)]), np.repeat(np.arange(len(rows)), n_prints)
+    sets = [x[n + 1 :] for x, n in zip(rows, n_prints.tolist(), strict=True)]
+    size = np.array([len(x) for x in sets], np.int64)
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
     first, mark = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(name) + 1, bool)
 
     def close(i: int, others: np.ndarray) -> np.ndarray:
+        least = np.full(len(block), similarity)
+        for own in prints[owner == i]:
+            least[owner[np.bitwise_count(prints ^ own) <= radius]] = min(similarity, CONFIRMED)
+        least = least[others]
         mark[own := name[first[i] : first[i + 1]]] = True
-        fit = np.flatnonzero(np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]))
+        fit = np.flatnonzero(np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i]))
         both = np.zeros(len(others), np.int64)
         both[fit] = [np.count_nonzero(mark[name[first[j] : first[j + 1]]]) for j in others[fit].tolist()]
         mark[own] = False
-        return both >= similarity * (size[others] + size[i] - both)
+        return both >= least * (size[others] + size[i] - both)
 
     return close
 
@@ -292,30 +307,35 @@ def near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, th, component_id, is_first, n_rows): documents whose sets of k-word shingles have this Jaccard similarity, or
-    more, link.
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK, radius: int | None = None, print_k: int = 4) -> DataFrame:
+    """(doc_id, th, component_id, is_first, n_rows): documents whose SimHash fingerprints of print_k-word shingles differ in
+    radius or fewer bits link, if their sets of k-word shingles have CONFIRMED Jaccard similarity; without a radius none. So
+    do those whose sets have the similarity named, or more, whatever their fingerprints.
 
-    Equal sets are one. Sets meet where one of BANDS runs of BAND_ROWS min-hashes agrees, which depends on nothing but
-    their similarity: not on where the texts differ, nor on how often a text repeats a shingle. Sets that meet and whose
-    min-hashes are alike enough form groups, with some slack; inside each group the sets themselves are compared, in
-    blocks, and only those of the similarity link.
+    Equal sets are one. Fingerprints meet under the covering masks of near_copies(). Sets meet where one of BANDS runs of
+    BAND_ROWS min-hashes agrees, which depends on nothing but their similarity: not on where the texts differ, nor on how
+    often a text repeats a shingle. What either brings together forms groups, with some slack; inside each group the
+    fingerprints and sets themselves are compared, in blocks, and decide what links.
 
     One row for each doc_id and text, told by its hash th, with the number of its rows: several texts of one id are
     documents of their own. component_id is the smallest doc_id of a group; is_first marks the one row of the group that
     is first by id and th. Null ids have no row; null and wordless texts are one group; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("th", F.xxhash64("text"))
-    rows = stored(texts.select("doc_id", "text", "th").mapInArrow(lambda it: _signed(it, k), "doc_id long, th long, same binary, keys array<long>, signature binary"), "signed")
+    own_k = None if radius is None else print_k
+    rows = stored(texts.select("doc_id", "text", "th").mapInArrow(lambda it: _signed(it, k, own_k), "doc_id long, th long, same binary, keys array<long>, signature binary, fp long"), "signed")
     one = F.xxhash64("same").alias("rep")  # a set's number in links and groups
-    reps = stored(rows.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("keys").alias("keys"), F.first("signature").alias("signature")).select(one, "of", "keys", "signature"), "reps")
+    reps = stored(rows.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.collect_set("fp").alias("prints")).select(one, "of", "keys", "signature", "prints"), "reps")
     bands = reps.select("rep", F.posexplode("keys").alias("table", "key")).select("table", "key", "rep").distinct()
-    groups = stored(components(bucket_links(bands, reps.select("rep", "signature"), "signature", _alike, similarity, block)), "groups")
+    links = bucket_links(bands, reps.select("rep", "signature"), "signature", _alike, similarity, block)
+    if radius is not None:
+        links = links.union(_print_links(reps.select("rep", F.explode("prints").alias("fp")), radius, block))
+    groups = stored(components(links), "groups")
     members = groups.select(F.lit(0).alias("table"), F.col("component").alias("key"), F.col("node").alias("rep"))
-    wanted = members.select("key", "rep").join(reps.select("rep", "of.doc_id", "of.th"), "rep")
-    asked = wanted.join(texts.dropDuplicates(["doc_id", "th"]) if _repeats(rows) else texts, ["doc_id", "th"]).select("key", "rep", "text")
+    wanted = members.select("key", "rep").join(reps.select("rep", "of.doc_id", "of.th", "prints"), "rep")
+    asked = wanted.join(texts.dropDuplicates(["doc_id", "th"]) if _repeats(rows) else texts, ["doc_id", "th"]).select("key", "rep", "text", "prints")
     sets = stored(asked.mapInArrow(lambda it: _as_sets(it, k), "key long, rep long, shingles binary"), "sets")
-    found = components(bucket_links(members, sets.select("rep", "shingles"), "shingles", _shared_enough, similarity, block))
+    found = components(bucket_links(members, sets.select("rep", "shingles"), "shingles", _shared_enough, (similarity, -1 if radius is None else radius), block))
     named = reps.join(found, reps.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("grp"), "of")
     first = stored(named.groupBy("grp").agg(F.min("of").alias("first")), "first")
     placed = stored(named.join(first, "grp").select("rep", "first"), "placed")
@@ -323,6 +343,13 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, bloc
     return own.select("doc_id", "th", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("is_first"), "n_rows")
 
 
+def _print_links(prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links (a, b) that join all reps of prints(rep, fp) whose fingerprints are within the radius, one rep for each fingerprint."""
+    lead = stored(prints.groupBy("fp").agg(F.min("rep").alias("rep")), "leads")
+    equal = prints.join(lead.withColumnRenamed("rep", "b"), "fp").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    return equal.union(covering_links(lead, [F.col("fp")], radius, "fp", radius, block))
+
+
 def _repeats(rows: DataFrame) -> bool:
     return bool(rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count())
 

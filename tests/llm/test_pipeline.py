@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from chalkline.llm import bpe, queries, toxicity
+from chalkline.llm import bpe, queries, simhash, toxicity
 
 from test_methods import _groups, _without_repeats
 
@@ -91,6 +91,20 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path):
         assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == ([-1, 1, 4, 4, 6, 7] if folder == "odd" else [])
 
 
+def test_near_copies_of_the_pipeline_link_by_fingerprints(spark):
+    """Texts whose fingerprints are within 4 bits link below a similarity of 0.8 as well; a phrase that both repeat is not enough."""
+    draw = random.Random(5)
+    say = lambda n, tag: " ".join(tag + "".join(draw.choice("bcdfgaeiou") for _ in range(5)) for _ in range(n))
+    phrase = say(60, "p")
+    texts = [" ".join([phrase] * 12 + [say(14, tag)]) for tag in "ab"] + [say(80, tag) + " word" * 400 for tag in "cd"]
+    bits = lambda i, j: (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count()
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert bits(0, 1) <= 4 and 0.5 <= share(0, 1) < 0.8 and bits(2, 3) <= 4 and share(2, 3) < 0.1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2, 3]
+
+
 PROMISED = {
     "op1_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op2_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
