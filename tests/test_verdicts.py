@@ -190,3 +190,10 @@ def test_spanning_trees_have_the_least_weights(kind):
             best = np.minimum(best, np.sqrt(((p - p[i]) ** 2).sum(axis=1)))
         assert np.allclose(sorted(w), sorted(want[1:]), rtol=1e-12)
         assert P.labels_of(len(p), np.stack([a, b], axis=1)).max() == 0
+
+
+def test_verdicts_are_not_broadcast_to_meet_claims(spark):
+    found = spark.range(5).select(F.col("id").alias("drawing_id"), F.lit("CERTIFIED").alias("status"), *[F.lit(1).cast("bigint").alias(c) for c in ("faces", "pieces", "chi")])
+    claims = found.select("drawing_id", "faces", "pieces", "chi")
+    got = V.checked(claims, found)
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and {r.verdict for r in got.collect()} == {"HELD"}
