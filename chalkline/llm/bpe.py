@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH
+from .common import BATCH, kept
 
 LEAF_BITS = 8  # 256 ranks for each leaf of the bitmap
 LEAF_MASK = (1 << LEAF_BITS) - 1
@@ -142,15 +142,13 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, memoryview(packed or b"").cast("I")))
 
 
-_CODECS: dict[tuple, Codec] = {}  # of this worker, so that the tasks it runs one after another share the pieces they know
-
-
 def _codec(ranks, pattern: str) -> Codec:
-    key = (ranks.value.digest, pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks.value.ranks, pattern)
-    return _CODECS[key]
+    """That of this worker, so that the tasks it runs one after another share the pieces they know."""
+    key, codecs = (ranks.value.digest, pattern), kept("bpe")
+    if key not in codecs:
+        codecs.clear()
+        codecs[key] = Codec(ranks.value.ranks, pattern)
+    return codecs[key]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:

@@ -6,11 +6,12 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.llm import langid, quality, toxicity
-from chalkline.llm.common import fold, likely
+from chalkline.llm import bpe, langid, quality, toxicity
+from chalkline.llm.common import BATCH, fold, kept, likely
 
 
 def _corpus(seed, n=240):
@@ -194,3 +195,26 @@ def test_the_shuffles_of_a_stored_table_go_with_its_writing(spark):
     while shuffles() - before and time.time() < end:
         time.sleep(0.1)
     assert not shuffles() - before and spark.conf.get(name) == was
+
+
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_toxicity_returns_a_few_texts_at_a_time():
+    model = toxicity.Model({"vile": 2}, np.array([0.0, 0.0, 3.0]), np.zeros(3), np.empty(0, np.int64), np.empty(0), np.array([1.0, 1.0, 1.0, -2.0]))
+    texts = [None, "", *["a vile text", "a text"] * 500]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(toxicity._score(iter([rows, rows.slice(0, 0)]), _Sent(model), 1))
+    assert max(p.num_rows for p in parts) <= BATCH
+    out = pa.Table.from_batches(parts).to_pydict()
+    assert out == {"doc_id": list(range(len(texts))), "text": texts, "toxic_score": [model.score(t) for t in texts]}
+
+
+def test_a_worker_lets_go_of_the_pieces_when_another_operator_begins():
+    ranks = _Sent(bpe.Vocabulary({bytes([i]): i for i in range(256)}, "bytes"))
+    codec = bpe._codec(ranks, r"\w+")
+    assert bpe._codec(ranks, r"\w+") is codec and bpe._codec(ranks, r"\S+") is not codec and len(kept("bpe")) == 1
+    list(toxicity._count_shared(iter([])))
+    assert not kept("bpe")
