@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def test_collapsed_edges_move_segments_once(spark):
     assert _exchanges(catalog.collapsed_edges(spark, SF)) <= 2
 
 
+def test_collapsed_edges_joined_through_others(spark, tmp_path):
+    # From (0, p) to (0, 3p): 12 to 36 is longer than SHORT, and only the second drawing has a point between. Such edges were left out.
+    rows = [(97 * 83 * i, c, p) for i, (c, p) in enumerate([(1, 12.0), (2, 12.0), (2, 8.0), (None, 8.0)])]  # the last is of no drawing
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(2, 0, "line#0", 24.0), (2, 1, "line#1", 16.0)]
+    assert sorted(map(tuple, catalog.collapsed_edges(spark, str(tmp_path)).collect())) == want
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(con.sql(catalog.SQL["collapsed_edges"]).fetchall()) == want
+
+
 def test_plain_faces(spark):
     rows = catalog._view(spark, SF, catalog.HEAPS).withColumn("y2", F.when(F.col("drawing_id") % 7 > 0, F.col("y2")))
     vs = P.vertices(rows)
